@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from notewright.llm import setjoin, survivors, tokens
+from notewright.llm import pii, setjoin, survivors, tokens, turns
 from notewright.session import table
 
 
@@ -20,18 +20,47 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivor_records(notes, extractors, norms)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, d, "transcriptions")).select("id", "turn_no", "speaker", "n_words")
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, d, "transcriptions"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     notes = table(spark, d, "notes")
     both = [setjoin.note_pairs(notes, f).select(F.lit(f).alias("facet"), "note_id_a", "note_id_b") for f in setjoin.FACETS]
     return both[0].unionByName(both[1])
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per note and facet: its class of equal sets and the number of other classes it is linked to."""
+    out = None
+    for facet in setjoin.FACETS:
+        one = setjoin.linked_classes(table(spark, d, "notes"), facet)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _pii_spans(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_spans(*(table(spark, d, t) for t in ("transcriptions", "pii_patterns", "person_names")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_values(_pii_spans(spark, d))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(_pii_spans(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_turns, p3_found, p3_classes, p5_found, p5_redacted, p6_ids)}
 
 
 _TAGS = r"list_distinct(list_filter(list_transform(tags, lambda t: regexp_replace(lower(regexp_replace(regexp_replace(t, '^[\s#]+', ''), '\s+$', '')), '[\s_-]+', '-', 'g')), lambda t: t IS NOT NULL AND t <> ''))"

@@ -145,3 +145,20 @@ def note_pairs(notes: DataFrame, facet: str) -> DataFrame:
     rows, threshold, least = note_facet(notes, facet)
     pairs = similar_pairs(rows, "note_id", "values", threshold, least)
     return pairs.select(F.col("a").alias("note_id_a"), F.col("b").alias("note_id_b"))
+
+
+def linked_classes(notes: DataFrame, facet: str) -> DataFrame:
+    """(facet, note_id, class_id, copies, links): membership instead of all pairs.
+
+    ``copies`` counts the notes with the same set, ``links`` the other sets that are similar; pairs
+    are never expanded, so a set that a third of all notes share stays one class.
+    """
+    rows, threshold, least = note_facet(notes, facet)
+    members, classes = set_classes(rows, "note_id", "values", least)
+    members, classes = cut(members), cut(classes)
+    near = similar_classes(classes, threshold).select("a", "b")
+    ends = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class")))
+    links = ends.groupBy("class").agg(F.count("*").alias("links"))
+    copies = members.groupBy("class").agg(F.count("*").alias("copies"))
+    out = members.join(copies, "class").join(links, "class", "left")
+    return out.select(F.lit(facet).alias("facet"), F.col("key").alias("note_id"), F.col("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
