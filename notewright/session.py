@@ -15,6 +15,7 @@ def get_spark(app: str = "notewright", cpus: int | str = "*", **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
