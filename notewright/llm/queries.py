@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from notewright.llm import pii, setjoin, survivors, tokens, turns
-from notewright.session import table
+from notewright.llm import mixture, pii, setjoin, spans, survivors, tokens, turns
+from notewright.session import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +59,27 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_lengths(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return spans.fuzzy_passages(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
+
+
+_QUERIES = (p1_found, p1_survivors, p2_found, p2_turns, p3_found, p3_classes, p5_found, p5_redacted, p6_ids, p7_mix, p7_shares, p8_found, p8_passages)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_turns, p3_found, p3_classes, p5_found, p5_redacted, p6_ids)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _TAGS = r"list_distinct(list_filter(list_transform(tags, lambda t: regexp_replace(lower(regexp_replace(regexp_replace(t, '^[\s#]+', ''), '\s+$', '')), '[\s_-]+', '-', 'g')), lambda t: t IS NOT NULL AND t <> ''))"
@@ -77,5 +96,19 @@ SELECT '{facet}' AS facet, a AS note_id_a, b AS note_id_b FROM (
   GROUP BY 1, 2) WHERE shared >= {threshold} * (na + nb - shared) - 1e-9"""
 
 
+#: Every window of 200 characters, those of two documents, and the characters that they cover.
+_SHARED = """
+WITH w AS (
+  SELECT doc_id, at, substr(text, at, 200) AS s
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS at FROM documents WHERE length(text) >= 200)),
+c AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT doc_id, at, lag(at) OVER (PARTITION BY doc_id ORDER BY at) AS before FROM w WHERE s IN (SELECT s FROM c))
+SELECT doc_id, CAST(sum(CASE WHEN before IS NULL THEN 200 ELSE least(200, at - before) END) AS BIGINT) AS shared_chars
+FROM h GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _pairs_sql("tags", _TAGS, 3, 0.6) + "\nUNION ALL" + _pairs_sql("content", _WORDS, 30, 0.75)}
+    return {
+        "p8_found": _SHARED,
+        "p3_found": _pairs_sql("tags", _TAGS, 3, 0.6) + "\nUNION ALL" + _pairs_sql("content", _WORDS, 30, 0.75),
+    }

@@ -21,7 +21,7 @@ from notewright.session import spread
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 #: Code points of a leaf; texts up to this length are encoded in one piece.
-LEAF_CHARS = 32_768
+LEAF_CHARS = 4096
 #: Fixed value: the split pattern that belongs to the published vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A piece is settled if it ends so many characters before the end of what was seen:
