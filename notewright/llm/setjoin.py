@@ -48,60 +48,75 @@ def set_classes(records: DataFrame, key: str, values: str, least_size: int) -> t
     return members, classes.select("class", F.size("values").alias("size"), "values")
 
 
+def _least(share: float) -> Column:
+    """ceil(share * size); 1e-9: a product like 0.6 * 5 must not exceed 3 by rounding."""
+    return F.ceil(F.col("size") * F.lit(share) - F.lit(1e-9)).cast("int")
+
+
 def _prefixes(classes: DataFrame, threshold: float, longest: int) -> DataFrame:
-    """(class, size, need, toks): each set's prefix tokens, rarest first, as (frequency, hash)."""
+    """(class, size, need, own_need, toks): each set's prefix tokens, rarest first, as hashes.
+
+    ``need`` is the least overlap with any partner, ``own_need`` with a partner that is not smaller.
+    """
     tokens = classes.select("class", "size", F.explode("values").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h"))))
     ranked = tokens.join(frequency, "token").groupBy("class", "size").agg(order.alias("toks"))
-    # 1e-9: a product like 0.6 * 5 must not exceed 3 by rounding
-    ranked = ranked.withColumn("need", F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
+    ranked = ranked.withColumn("need", _least(threshold)).withColumn("own_need", _least(2 * threshold / (1 + threshold)))
     keep = F.least(F.col("size"), F.col("size") - F.col("need") + F.lit(longest))
-    return ranked.select("class", "size", "need", F.transform(F.slice("toks", F.lit(1), keep), lambda x: x["h"]).alias("toks"))
+    return ranked.select("class", "size", "need", "own_need", F.transform(F.slice("toks", F.lit(1), keep), lambda x: x["h"]).alias("toks"))
 
 
-def _candidates(keyed: DataFrame, threshold: float) -> DataFrame:
-    a = keyed.select("key", F.col("class").alias("a"), F.col("size").alias("na"))
-    b = keyed.select("key", F.col("class").alias("b"), F.col("size").alias("nb"))
-    alike = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & alike).select("a", "b")
+def _matches(index: DataFrame, probe: DataFrame, length: int, threshold: float) -> DataFrame:
+    """Candidates (a, b): an index row's set comes before the probe row's in order of size and class."""
+    s = index.select("key", F.col("class").alias("s"), F.col("size").alias("ns"), F.col("at").alias("ats"))
+    r = probe.select("key", F.col("class").alias("r"), F.col("size").alias("nr"), F.col("at").alias("atr"))
+    before = (F.col("ns") < F.col("nr")) | ((F.col("ns") == F.col("nr")) & (F.col("s") < F.col("r")))
+    alike = F.col("ns") >= F.col("nr") * threshold - 1e-9
+    # what the tokens after the key's last one can still give must reach the overlap the pair needs
+    room = F.least(F.col("ns") - F.col("ats"), F.col("nr") - F.col("atr")) + (length - 1)
+    reach = room >= (F.col("ns") + F.col("nr")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = s.join(r, "key").filter(before & alike & reach)
+    return pairs.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b"))
 
 
 def similar_classes(classes: DataFrame, threshold: float, postings: int = POSTINGS, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(a, b, shared, jaccard): pairs of classes, a < b, with intersection / union >= threshold."""
+    """(a, b, shared, jaccard): pairs of classes, a < b, with intersection / union >= threshold.
+
+    Of a pair the smaller set is on the index side, where its prefix is the shorter one, the larger on
+    the probe side. A key is frequent if more than ``postings`` index rows have it; only then are the
+    rows with that key, on both sides, extended by one more token of the longer prefix.
+    """
     sets = cut(_prefixes(classes, threshold, max_tokens))
-    n = F.col("size") - F.col("need")
-    # keys of one token: the 1-prefix
-    keyed = sets.select("class", "size", "need", "toks", F.posexplode(F.slice("toks", F.lit(1), n + 1)).alias("at", "h"))
-    keyed = keyed.select("class", "size", "need", "toks", "at", F.col("h").alias("key"))
-    found = None
+
+    def first(limit: str) -> DataFrame:
+        n = F.col("size") - F.col(limit) + 1
+        return sets.select("class", "size", "own_need", F.posexplode(F.slice("toks", F.lit(1), n)).alias("at", "key"))
+
+    def longer(rows: DataFrame, limit: str, length: int) -> DataFrame:
+        """Keys of one more token: each later one of the prefix for ``length`` tokens."""
+        more = rows.select("class", "key", "at").join(sets, "class")
+        rest = F.slice("toks", F.col("at") + 2, F.greatest(F.lit(0), F.col("size") - F.col(limit) + length - F.col("at") - 1))
+        more = more.select("class", "size", "own_need", "key", "at", F.posexplode(rest).alias("step", "h"))
+        return more.select("class", "size", "own_need", (F.col("at") + 1 + F.col("step")).alias("at"), F.xxhash64("key", "h").alias("key"))
+
+    index, probe, found = first("own_need"), first("need"), None
     for length in range(1, max_tokens + 1):
-        often = keyed.groupBy("key").agg(F.count("*").alias("times")).filter(f"times > {postings}")
-        if length == max_tokens:
-            ready, hot = keyed, None
+        last = length == max_tokens
+        if last:
+            ready = index
         else:
-            keyed = cut(keyed)
-            often = cut(keyed.groupBy("key").agg(F.count("*").alias("times")).filter(f"times > {postings}").select("key"))
+            often = cut(index.groupBy("key").agg(F.count("*").alias("times")).filter(f"times > {postings}").select("key"))
+            last = often.isEmpty()
+            marked = index.join(often.withColumn("hot", F.lit(True)), "key", "left")
             # a set that needs no more shared tokens than the key has cannot be asked for another
-            marked = keyed.join(often.withColumn("hot", F.lit(True)), "key", "left")
-            grows = F.coalesce("hot", F.lit(False))
-            ready = marked.filter(~grows)
-            hot = marked.filter(grows)
-            # the partner's need may be smaller: sets with need <= length join at this length among all
-            short = hot.filter(F.col("need") <= length)
-            full = hot.select("key", F.col("class").alias("b"), F.col("size").alias("nb"))
-            alike = (F.col("size") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("size") * threshold - 1e-9)
-            few = short.join(full, "key").filter((F.col("class") != F.col("b")) & alike)
-            few = few.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"))
-            found = few if found is None else found.unionByName(few)
-        pairs = _candidates(ready, threshold)
+            ready = marked.filter(F.col("hot").isNull() | (F.col("own_need") <= length)).drop("hot")
+        pairs = _matches(ready, probe, length, threshold)
         found = pairs if found is None else found.unionByName(pairs)
-        if hot is None:
+        if last:
             break
-        # longer keys: a further token of the (length + 1)-prefix, after the last one
-        rest = F.slice("toks", F.col("at") + 2, F.greatest(F.lit(0), n + length + 1 - F.col("at") - 1))
-        keyed = hot.filter(F.col("need") > length).select("class", "size", "need", "toks", "key", "at", F.posexplode(rest).alias("step", "h"))
-        keyed = keyed.select("class", "size", "need", "toks", (F.col("at") + 1 + F.col("step")).alias("at"), F.xxhash64("key", "h").alias("key"))
+        index = longer(index.filter(F.col("own_need") > length).join(often, "key", "left_semi"), "own_need", length + 1)
+        probe = longer(probe.join(often, "key", "left_semi"), "need", length + 1)
     left = classes.select(F.col("class").alias("a"), F.col("values").alias("va"))
     right = classes.select(F.col("class").alias("b"), F.col("values").alias("vb"))
     both = found.distinct().join(left, "a").join(right, "b")
