@@ -135,7 +135,7 @@ def scrub(text: Column, known: Column | None = None, strict: bool = False) -> Co
 
 
 def unescape_copy(value: Column) -> Column:
-    """A field of a dump: \\N is empty, one pass over \\n, \\t, \\r and \\\; other escapes stay."""
+    """A field of a dump: its null mark is empty; line feed, tab, return and backslash are unescaped in one pass, other escapes stay."""
     parts = F.regexp_extract_all(value, F.lit(r"(?s)(\\[ntr\\]|.)"), F.lit(1))
     one = F.transform(parts, lambda p: F.when(p == r"\n", "\n").when(p == r"\t", "\t").when(p == r"\r", "\r").when(p == r"\\", "\\").otherwise(p))
     return F.when(value == r"\N", F.lit("")).when(value.contains("\\"), F.array_join(one, "")).otherwise(value)
