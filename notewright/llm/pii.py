@@ -80,6 +80,13 @@ def shape(number: str) -> str:
     return out + ("|day" if len(digits) in (10, 12) and _real_day(digits) else "")
 
 
+def outline(number: str) -> str:
+    """How a number begins, how many digits it has, and whether a birth day begins it."""
+    digits = re.sub(r"\D", "", number)
+    day = "|day" if shape(number).endswith("|day") else ""
+    return f"{re.sub('[1-9]', '9', number[:1])}{len(digits)}{day}"
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int]]:
     for m in _NUMBER.finditer(text):
         a, b = m.span()
@@ -116,7 +123,7 @@ def _candidates(text: str) -> Iterator[tuple[str, str, str]]:
         if not inside(a, b):
             masked.append((a, b))
             value = text[a:b]
-            for p in (f"H {shape(value)}", *around(a, b)):
+            for p in (f"H {shape(value)}", f"H {outline(value)}", *around(a, b)):
                 yield "number", value, p
     for a, b, word in _streets(text):
         if not inside(a, b):
@@ -179,7 +186,7 @@ def seeds(patterns: DataFrame, person_names: DataFrame) -> DataFrame:
     return out.filter("value <> '' AND label IN ('given', 'family', 'phone', 'national_id', 'address')").distinct()
 
 
-def score_graph(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_graph(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
     """(class, value, label, score): belief in each candidate after ``rounds`` of scoring.
 
     ``edges`` are (class, value, pattern), each once. Seeds keep score 1. Both steps are grouped
@@ -188,19 +195,24 @@ def score_graph(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Dat
     """
     breadth = edges.groupBy("class", "pattern").agg(F.count("*").alias("n"))
     linked = cut(edges.join(breadth.filter("n > 1"), ["class", "pattern"]))
-    # weights: affixes and shapes are worth as much together as the surroundings
+    # affixes and shapes count as much together as the surroundings; none that is shared is no evidence
     inner = F.col("pattern").rlike("^[HSPE]")
-    family_n = linked.groupBy("class", "value").agg(F.count_if(inner).alias("n_in"), F.count_if(~inner).alias("n_out"))
+    breadths = linked.groupBy("class", "value").agg(F.count_if(inner).alias("n_in"), F.count_if(~inner).alias("n_out"))
+    number = F.col("class") == "number"
     seeded = known.select("class", "value", "label", F.lit(1.0).alias("score"))
     belief = seeded.join(edges.select("class", "value").distinct(), ["class", "value"], "left_semi")
     for _ in range(rounds):
         heard = linked.join(belief, ["class", "value"]).groupBy("class", "pattern", "label").agg((F.sum("score") / (F.max("n") + 1)).alias("trust"))
+        within, around = F.when(inner, F.col("trust")), F.when(~inner, F.col("trust"))
         sums = linked.join(heard, ["class", "pattern"]).groupBy("class", "value", "label").agg(
-            F.sum(F.when(inner, F.col("trust")).otherwise(0)).alias("t_in"), F.sum(F.when(~inner, F.col("trust")).otherwise(0)).alias("t_out")
+            F.sum(F.coalesce(within, F.lit(0.0))).alias("t_in"), F.sum(F.coalesce(around, F.lit(0.0))).alias("t_out"), F.coalesce(F.max(F.when(F.col("pattern").rlike("^[LM]"), F.col("trust"))), F.lit(0.0)).alias("top_out")
         )
-        # no shared affix or shape, or no shared surroundings, is no evidence of that sort
-        mean = (F.col("t_in") / F.greatest("n_in", F.lit(1)) + F.col("t_out") / F.greatest("n_out", F.lit(1))) / 2
-        found = sums.join(family_n, ["class", "value"]).select("class", "value", "label", mean.alias("score"))
+        t_in, t_out = F.col("t_in") / F.greatest("n_in", F.lit(1)), F.col("t_out") / F.greatest("n_out", F.lit(1))
+        # a number's form and the best of what stands before it must both speak for it
+        score = F.when(number, F.sqrt(t_in * F.col("top_out"))).otherwise((t_in + t_out) / 2)
+        found = sums.join(breadths, ["class", "value"]).select("class", "value", "label", score.alias("score"))
+        # confident numbers count in full in the next round
+        found = found.withColumn("score", F.when(number & (F.col("score") >= accept), F.lit(1.0)).otherwise(F.col("score")))
         belief = cut(found.unionByName(seeded.select("class", "value", "label", "score")).groupBy("class", "value", "label").agg(F.max("score").alias("score")))
     return belief
 
@@ -208,7 +220,10 @@ def score_graph(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Dat
 def lexicon(texts: DataFrame, patterns: DataFrame, person_names: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
     """(class, value, label, score) of the accepted parts: for each value the label with the most belief."""
     edges = texts.select(_scan(F.col("text")).alias("text")).mapInArrow(_graph_batches, "class string, value string, pattern string").distinct()
-    scored = score_graph(cut(edges), seeds(patterns, person_names), rounds)
+    edges = cut(edges)
+    ends = edges.filter((F.col("class") == "street") & F.col("value").rlike("(" + "|".join(STREET_ENDINGS) + ")$"))
+    known = seeds(patterns, person_names).unionByName(ends.select("class", "value", F.lit("address").alias("label"))).distinct()
+    scored = score_graph(edges, known, rounds, accept)
     best = scored.groupBy("class", "value").agg(F.max(F.struct("score", "label")).alias("b"))
     return best.select("class", "value", "b.label", "b.score").filter(F.col("score") >= accept)
 

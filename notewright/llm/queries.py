@@ -99,11 +99,11 @@ SELECT '{facet}' AS facet, a AS note_id_a, b AS note_id_b FROM (
 #: Every window of 200 characters, those of two documents, and the characters that they cover.
 _SHARED = """
 WITH w AS (
-  SELECT doc_id, at, substr(text, at, 200) AS s
-  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS at FROM documents WHERE length(text) >= 200)),
+  SELECT doc_id, p, substr(text, p, 200) AS s
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS p FROM documents WHERE length(text) >= 200)),
 c AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
-h AS (SELECT doc_id, at, lag(at) OVER (PARTITION BY doc_id ORDER BY at) AS before FROM w WHERE s IN (SELECT s FROM c))
-SELECT doc_id, CAST(sum(CASE WHEN before IS NULL THEN 200 ELSE least(200, at - before) END) AS BIGINT) AS shared_chars
+h AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w WHERE s IN (SELECT s FROM c))
+SELECT doc_id, CAST(sum(CASE WHEN before IS NULL THEN 200 ELSE least(200, p - before) END) AS BIGINT) AS shared_chars
 FROM h GROUP BY doc_id"""
 
 
