@@ -105,15 +105,16 @@ def greedy_absorption(pairs: DataFrame, order: DataFrame, threshold: float) -> D
     places = order.select("id", "place")
     both = both.join(places.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
     both = cut(both)
-    links, actors = both, both.select("a").limit(0)
+    links, closed = both, both.select("a").limit(0)
     while not links.isEmpty():
         acts = cut(links.groupBy("a", "pa").agg(F.min("pb").alias("least")).filter("pa < least").select("a"))
-        actors = actors.unionByName(acts)
-        gone = cut(acts.unionByName(links.join(acts, "a").select(F.col("b").alias("a"))).distinct())
+        met = cut(links.join(acts, "a").select(F.col("b").alias("a")).distinct())
+        closed = closed.unionByName(met)
+        gone = acts.unionByName(met)
         left = links.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti")
         links = cut(left.select("a", "b", "pa", "pb"))
-    # of the acting partners of a concept the first one takes it
-    return both.join(actors.distinct(), "a").groupBy("b").agg(F.min_by("a", "pa").alias("id")).select("id", F.col("b").alias("absorbed"))
+    # who was never closed acts, if only later; of the acting partners of a concept the first takes it
+    return both.join(closed.distinct(), "a", "left_anti").groupBy("b").agg(F.min_by("a", "pa").alias("id")).select("id", F.col("b").alias("absorbed"))
 
 
 def unique_slugs(rows: DataFrame, key: str, slug: str, order: str) -> DataFrame:

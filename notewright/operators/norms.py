@@ -62,13 +62,14 @@ def _bounded_name(name: Column) -> Column:
     return F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9_])"), F.regexp_replace(name, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"), F.lit(r"($|[^A-Za-z0-9_])"))
 
 
-def audit(texts: DataFrame, key: str, text: str, norms: DataFrame) -> DataFrame:
-    """(key, found, norm_id, superseded_by, migration, authority): retired names that stand in a text as words.
+def audit(texts: DataFrame, key: str, text: str, norms: DataFrame, retired_only: bool = True) -> DataFrame:
+    """(key, found, norm_id, superseded_by, migration, authority): names, as a rule the retired ones, that stand in a text as words.
 
     The retired names are a dimension; their number is checked before they are broadcast. A text is
     compared with single names only if one pattern of their first letters and digits finds any.
     """
-    retired = norm_names(norms).filter("is_retired").join(migrations(norms).drop("norm_id"), "name")
+    known = norm_names(norms)
+    retired = (known.filter("is_retired") if retired_only else known).join(migrations(norms).drop("norm_id"), "name", "left")
     retired = retired.withColumn("pattern", _bounded_name(F.col("name")))
     rows = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = retired.count()

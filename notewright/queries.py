@@ -96,7 +96,7 @@ def ingest_bands(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     incoming = _queries_of(vectors)
     best = dense.nearest(vectors.filter("vec_id % 20 <> 0"), incoming, 1)
-    return C.decide(best, "harness", MERGE_AT, LINK_AT)
+    return C.decide(best, "harness", MERGE_AT, LINK_AT).withColumn("target", F.coalesce("target", F.lit(-1)))
 
 
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -148,14 +148,19 @@ def link_exact(spark: SparkSession, d: str) -> DataFrame:
     return graph.exact_links(*_note_links(spark, d))
 
 
+def _concept_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Titles of concepts as links, to be resolved to titles of notes."""
+    links = table(spark, d, "concepts").select(F.col("title").alias("link")).filter("link IS NOT NULL").distinct()
+    return links, C.last_by_title(table(spark, d, "notes")).select("title")
+
+
 def link_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    links, titles = _note_links(spark, d)
-    open_ = links.select("link").distinct().join(graph.exact_links(links, titles), "link", "left_anti")
-    return graph.jaccard_links(open_, titles)
+    links, titles = _concept_titles(spark, d)
+    return graph.jaccard_links(links.join(graph.exact_links(links, titles), "link", "left_anti"), titles)
 
 
 def link_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return graph.resolve_links(*_note_links(spark, d))
+    return graph.resolve_links(*_concept_titles(spark, d))
 
 
 def retriever_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -212,11 +217,15 @@ def norm_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def norm_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Retired names in notes' tags, links and content taken together."""
-    notes = table(spark, d, "notes")
-    text = F.concat_ws("\n", "title", "content", F.array_join("applies_norm", " "))
-    found = N.audit(notes.select("note_id", text.alias("text")), "note_id", "text", table(spark, d, "norms"))
-    return found.select("note_id", "found", "norm_id", "superseded_by")
+    """Names of norms, current and retired, as words in the texts of documents."""
+    found = N.audit(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, d, "norms"), retired_only=False)
+    return found.select("doc_id", "found", "norm_id", "superseded_by")
+
+
+def document_audit(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents, those with retired names, with values that no norm covers, and with neither; the source stands for the title."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"), F.col("source").alias("file_name"))
+    return audit.audit_counts(audit.vault_audit(docs, table(spark, d, "norms")))
 
 
 def name_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -386,12 +395,18 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     p4_found, p4_rows, tokenize_df, bm25_topk, rrf_fuse, search_expand, search_in_order, dense_topk, knn_edges, ingest_bands, graph_stats, hubs, link_histogram,
     neighbours_d2, rare_token_links, weighted_graph, activation, link_exact, link_jaccard, link_resolution, retriever_stats, exact_merge, value_spans, note_validate,
-    norm_names, norm_lookup, norm_stale, norm_search, norm_audit, name_audit, vault_audit, audit_counts, context_budget, compile_blocks, thin_context, concept_strength,
+    norm_names, norm_lookup, norm_stale, norm_search, norm_audit, document_audit, name_audit, vault_audit, audit_counts, context_budget, compile_blocks, thin_context, concept_strength,
     compounding, absorb_notes, consolidate_greedy, upper_median, json_props, checkpoint_anti, prepared, prepare_stats, pii_scrub, pii_counts, source_page, copy_fields,
     unique_slugs, tag_index, tag_prefix_hits, note_markdown, note_round_trip, evidence_lines, evidence_round_trip, content_digest,
 )
 
 
+def oracle_sql() -> dict[str, str]:
+    from notewright.oracle import SQL
+
+    return dict(SQL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 

@@ -14,7 +14,8 @@ def evidence_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def daily_counts(stream: DataFrame, delay: str = "30 days") -> DataFrame:
     """(day, concept_id, observations, against): evidence per day of loading; rows delivered twice within the delay count once."""
-    once = stream.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(["concept_id", "ord", "source", "detail"])
+    timed = stream.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
+    once = timed.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(["concept_id", "ord", "source", "detail"])
     day = F.window("loaded_at", "1 day")
     return once.groupBy(day.alias("w"), "concept_id").agg(F.count("*").alias("observations"), F.count_if(F.coalesce("contradicts", F.lit(False))).alias("against")).select(
         F.col("w.start").alias("day"), "concept_id", "observations", "against"
