@@ -41,11 +41,11 @@ def test_names():
 
 def tables(spark):
     names = ["Aranka Bergquist", "Belino Bergsköld", "Aranka Dalsköld", "Belino Dalquist"]
-    texts = [f"Doctor: My name is {n} today. Ring 070-174 06 9{i} then. I moved to Storgatan {i + 1} last year." for i, n in enumerate(names * 6)]
+    texts = [f"Doctor: My name is {n} today. Ring 070-174 06 {10 + i} then. I moved to Storgatan {i + 1} last year." for i, n in enumerate(names * 6)]
     rows = [(i, t, None if i % 2 else "The Kolmakum sign. pnr 19310317-4236 noted. Order 9582-8058.", "clash") for i, t in enumerate(texts)]
     rows += [(100, None, " ", "x"), (101, "Doctor: My name is Belino Norrquist today. Lab ref 9582-8058.", "", "x"), (102, "Nothing here.", None, "x"), (0, texts[0], rows[0][2], "x")]
     t = spark.createDataFrame(rows, "id long, transcription string, clinical_note string, text string")
-    known = [(i, k, v) for i, n in enumerate(names * 2) for k, v in ((" Name", n), ("PHONE", f"070-174 06 9{i}"), ("address", f"storgatan {i + 1}"), ("national_id", "19310317-4236"))]
+    known = [(i, k, v) for i, n in enumerate(names * 2) for k, v in ((" Name", n), ("PHONE", f"070-174 06 {10 + i}"), ("address", f"storgatan {i + 1}"), ("national_id", "19310317-4236"))]
     known += [(None, "name", "x"), (3, "name", ""), (4, None, "Stale Person"), (5, "phone", None)]
     p = spark.createDataFrame(known, "transcription_id long, pii_type string, pattern string")
     n = spark.createDataFrame([("Aranka", "given"), ("Bergquist", "family"), (None, "given")], "name string, part_of_name string")
@@ -57,7 +57,7 @@ def test_bootstrap_finds_what_no_list_holds(spark):
     found = P.find_spans(t, p, n)
     got = {(r["id"], r["kind"], r["found_value"]) for r in P.found_values(found).collect()}
     assert (101, "name", "Belino Norrquist") in got  # the family name is in no list
-    assert (23, "phone", "070-174 06 923") in got and (23, "address", "Storgatan 24") in got and (22, "national_id", "19310317-4236") in got
+    assert (23, "phone", "070-174 06 33") in got and (23, "address", "Storgatan 24") in got and (22, "national_id", "19310317-4236") in got
     assert not any("9582" in v or "Kolmakum" in v for _, _, v in got) and not any(i == 102 for i, _, _ in got)
     assert found.filter("id = 0 AND field_name = 'transcription'").count() == 1 and found.filter("id = 100").count() == 0
     text = {r["id"]: r["redacted"] for r in P.redacted(found).filter("field_name = 'transcription'").collect()}
