@@ -13,9 +13,10 @@ def _empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.array().cast("array<string>"))
 
 
-def last_by_title(notes: DataFrame) -> DataFrame:
-    """Of notes with one title the last by file name."""
-    picked = notes.filter("title IS NOT NULL").groupBy("title").agg(F.max_by(F.struct(*[c for c in notes.columns if c != "title"]), "file_name").alias("n"))
+def last_by_title(notes: DataFrame, *columns: str) -> DataFrame:
+    """Of notes with one title the last by file name; only ``columns`` are read, all if none is named."""
+    wanted = [c for c in (columns or notes.columns) if c != "title"] or ["file_name"]
+    picked = notes.filter("title IS NOT NULL").groupBy("title").agg(F.max_by(F.struct(*wanted), "file_name").alias("n"))
     return picked.select("title", "n.*")
 
 

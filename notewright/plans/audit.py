@@ -11,7 +11,7 @@ from notewright.operators.concepts import last_by_title
 
 def vault_audit(notes: DataFrame, norms: DataFrame) -> DataFrame:
     """(title, corrections, loose): sorted retired names and sorted uncovered values of each note; both may be empty."""
-    last = last_by_title(notes)
+    last = last_by_title(notes, "content")
     text = F.concat(F.col("title"), F.lit("\n"), F.coalesce("content", F.lit("")))
     found = N.audit(last.select("title", text.alias("text")), "title", "text", norms).groupBy("title").agg(F.array_sort(F.collect_set("found")).alias("corrections"))
     claims = last.select("title", F.explode(value_spans(F.coalesce("content", F.lit("")))).alias("value"))

@@ -12,9 +12,9 @@ from notewright.session import cut
 SPREAD = 0.45
 
 
-def note_index(notes: DataFrame) -> DataFrame:
-    """(title, bag and the note's fields): one note per title with its weighted terms."""
-    last = last_by_title(notes)
+def note_index(notes: DataFrame, *keep: str) -> DataFrame:
+    """(title, tags, content, bag and the fields to keep): one note per title with its weighted terms."""
+    last = last_by_title(notes, "tags", "content", *keep)
     return last.withColumn("bag", weighted_bag(F.col("title"), F.col("tags"), F.col("content")))
 
 
@@ -74,7 +74,7 @@ def search(notes: DataFrame, queries: DataFrame, query_key: str, query_text: str
     ``dense`` is an optional (query, doc, rank) ranking of an encoder; without it the lexical scores
     stand alone. ``edges`` may be given, else the notes' resolved links are used.
     """
-    index = cut(note_index(notes))
+    index = cut(note_index(notes, "links"))
     scored = lexical.bm25(index, "title", "bag", queries, query_key, query_text)
     if dense is not None:
         scored = lexical.fuse(lexical.top_k(scored, 2**31 - 1), dense)

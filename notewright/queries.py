@@ -33,7 +33,7 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Links between notes whose text is a title but for letter case, both directions."""
-    return graph.adjacency(retrieve.note_links(C.last_by_title(table(spark, d, "notes")), only_exact=True))
+    return graph.adjacency(retrieve.note_links(C.last_by_title(table(spark, d, "notes"), "links"), only_exact=True))
 
 
 def _queries_of(vectors: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _title_bm25(spark: SparkSession, d: str) -> DataFrame:
-    titles = C.last_by_title(table(spark, d, "notes")).select("title", X.tokens(F.col("title")).alias("bag"))
+    titles = C.last_by_title(table(spark, d, "notes"), "file_name").select("title", X.tokens(F.col("title")).alias("bag"))
     return lexical.bm25(titles, "title", "bag", _asked(spark, d), "id", "title")
 
 
@@ -100,7 +100,7 @@ def ingest_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    nodes = C.last_by_title(table(spark, d, "notes")).select(F.col("title").alias("node"))
+    nodes = C.last_by_title(table(spark, d, "notes"), "file_name").select(F.col("title").alias("node"))
     return graph.graph_stats(_edges(spark, d), nodes)
 
 
@@ -140,7 +140,7 @@ def activation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _note_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    last = C.last_by_title(table(spark, d, "notes"))
+    last = C.last_by_title(table(spark, d, "notes"), "links")
     return last.select(F.col("title").alias("src"), F.explode("links").alias("link")).filter("link IS NOT NULL"), last.select("title")
 
 
@@ -151,7 +151,7 @@ def link_exact(spark: SparkSession, d: str) -> DataFrame:
 def _concept_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Titles of concepts as links, to be resolved to titles of notes."""
     links = table(spark, d, "concepts").select(F.col("title").alias("link")).filter("link IS NOT NULL").distinct()
-    return links, C.last_by_title(table(spark, d, "notes")).select("title")
+    return links, C.last_by_title(table(spark, d, "notes"), "file_name").select("title")
 
 
 def link_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def link_resolution(spark: SparkSession, d: str) -> DataFrame:
 def retriever_stats(spark: SparkSession, d: str) -> DataFrame:
     """One row: notes, edges, resolved and dangling link occurrences, share resolved; exact links."""
     links, titles = _note_links(spark, d)
-    edges = graph.adjacency(retrieve.note_links(C.last_by_title(table(spark, d, "notes")), only_exact=True)).agg(F.floor(F.count("*") / 2).cast("long").alias("edges"))
+    edges = graph.adjacency(retrieve.note_links(C.last_by_title(table(spark, d, "notes"), "links"), only_exact=True)).agg(F.floor(F.count("*") / 2).cast("long").alias("edges"))
     found = links.join(graph.exact_links(links, titles), "link", "left").agg(F.count("title").alias("resolved"), F.count_if(F.col("title").isNull()).alias("dangling"))
     out = titles.agg(F.count("*").alias("notes")).crossJoin(edges).crossJoin(found)  # one row each
     return out.withColumn("rate", F.round(F.col("resolved") / F.greatest(F.col("resolved") + F.col("dangling"), F.lit(1)), 3))
@@ -252,7 +252,7 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def compile_blocks(spark: SparkSession, d: str) -> DataFrame:
     """What a module of each concept's title holds: blocks, flagged ones, tokens."""
-    notes = C.last_by_title(table(spark, d, "notes"))
+    notes = C.last_by_title(table(spark, d, "notes"), "content", "tags")
     hits = lexical.top_k(_scored(spark, d), 14)
     texts = cut(compile_plan.hit_texts(hits, notes))
     kept = compile_plan.blocks(texts, compile_plan.corrections(texts, table(spark, d, "norms")), 1200)
