@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from notewright.session import cut
 
+#: Similarities from which an item is merged or linked.
 MERGE, LINK = 0.88, 0.72
 
 
@@ -93,6 +97,28 @@ def decide(best: DataFrame, mode: str = "harness", merge: float = MERGE, link: f
     return best.select("query", action.alias("action"), F.when(F.col("score") >= link, F.col("doc")).alias("target"), "score")
 
 
+def settle(decisions: DataFrame, judge: Callable[[str, str], bool | None]) -> DataFrame:
+    """``decisions`` with the ambiguous ones settled by an injected judge of (query, target).
+
+    Same: merge. Different, no answer, or a failing call: link.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def verdict(action: str, query: str, target: str) -> str:
+            if action != "ambiguous":
+                return action
+            try:
+                return "merge" if judge(query, target) else "link"
+            except Exception:  # noqa: BLE001
+                return "link"
+
+        for df in frames:
+            df["action"] = [verdict(a, q, t) for a, q, t in zip(df["action"], df["query"], df["target"])]
+            yield df
+
+    return decisions.mapInPandas(run, decisions.schema)
+
+
 def greedy_absorption(pairs: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
     """(id, absorbed): greedy consolidation in the given order, by rounds.
 

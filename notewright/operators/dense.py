@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -12,6 +13,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK = 2048
 
 
+def unencoded(texts: DataFrame, key: str, text: str, store: DataFrame, model: str) -> DataFrame:
+    """(key, text, digest): rows whose text this model has not encoded yet; the store has key, digest, model."""
+    rows = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    return rows.join(store.filter(F.col("model") == model).select("key", "digest"), ["key", "digest"], "left_anti")
+
+
+def encode(rows: DataFrame, encoder: Callable[[list[str]], list[list[float]]], model: str, batch: int = 32) -> DataFrame:
+    """(key, v, digest, model): unit vectors of (key, text, digest) rows by an injected encoder.
+
+    The encoder is called with up to ``batch`` texts inside the tasks; its vectors are always brought
+    to unit length, a zero vector stays zero.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            made: list[np.ndarray] = []
+            for at in range(0, len(df), batch):
+                for v in encoder(df["text"].iloc[at : at + batch].tolist()):
+                    x = np.asarray(v, dtype=np.float64)
+                    made.append(x / (np.linalg.norm(x) or 1.0))
+            yield pd.DataFrame({"key": df["key"], "v": made, "digest": df["digest"], "model": model})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", "text", "digest").mapInPandas(run, f"key {kind}, v array<float>, digest string, model string")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision, 0 where a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -50,7 +77,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     shuffled is blocks and k partial results per query and row block. The number of queries is
     the caller's statement; rows may be any number.
     """
-    width = len(queries.select(vector).filter(F.col(vector).isNotNull()).first()[0])
+    first = queries.select(vector).filter(F.col(vector).isNotNull()).first()
+    width = len(first[0]) if first else 0
     rows = vectors.filter(F.col(vector).isNotNull() & (F.size(vector) == width))
     asked = queries.filter(F.col(vector).isNotNull() & (F.size(vector) == width))
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from notewright.functions.text import tokens
 from notewright.session import cut
 
+#: Least spelling ratio and least Jaccard of a resolved link; decay, least flow and size of spreading activation.
 FUZZY, JACCARD = 0.82, 0.34
 DECAY, LEAST_FLOW, SETTLED = 0.65, 0.05, 20
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from notewright.functions.text import tokens
 
+#: BM25 and rank fusion.
 K1, B = 1.5, 0.75
 FUSION_K = 60
 

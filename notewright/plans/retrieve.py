@@ -9,6 +9,7 @@ from notewright.operators import graph, lexical
 from notewright.operators.concepts import last_by_title
 from notewright.session import cut
 
+#: Fixed value: share of a hit's score that its links get.
 SPREAD = 0.45
 
 

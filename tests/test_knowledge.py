@@ -83,6 +83,13 @@ def test_decide_budget_and_slugs(spark):
     best = spark.createDataFrame([("a", "x", 0.9), ("b", "y", 0.8), ("c", "z", 0.1), ("d", None, None)], "query string, doc string, score double")
     assert {r["query"]: (r["action"], r["target"]) for r in C.decide(best).collect()} == {"a": ("merge", "x"), "b": ("ambiguous", "y"), "c": ("create", None), "d": ("create", None)}
     assert {r["action"] for r in C.decide(best, "none").collect()} == {"merge", "link", "create"}
+    def judge(query, target):
+        if query == "e":
+            raise RuntimeError("no answer")
+        return target == "y"
+
+    more = best.unionByName(spark.createDataFrame([("e", "y", 0.8), ("f", "z", 0.8)], best.schema))
+    assert {r["query"]: r["action"] for r in C.settle(C.decide(more), judge).collect()} == {"a": "merge", "b": "merge", "c": "create", "d": "create", "e": "link", "f": "link"}
     blocks = spark.createDataFrame([("g", 1, 5), ("g", 2, 9), ("g", 3, 1)], "g string, o int, t int")
     assert [r["o"] for r in C.within_budget(blocks, "g", "o", "t", 10).collect()] == [1]
     slugs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, s string")

@@ -136,3 +136,18 @@ def test_cosine(spark):
     rows = [([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])]
     got = [r[0] for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(F.round(dense.cosine(F.col("a"), F.col("b")), 6)).collect()]
     assert got == [round(1 / math.sqrt(2), 6), 0.0]
+
+
+def test_encode_only_what_changed(spark):
+    texts = spark.createDataFrame([(1, "aa"), (2, "b"), (3, None)], "k long, t string")
+    store = spark.createDataFrame([], "key long, digest string, model string")
+    rows = dense.encode(dense.unencoded(texts, "k", "t", store, "m"), lambda batch: [[len(t), 0.0] for t in batch], "m", batch=2)
+    assert {r["key"]: list(r["v"]) for r in rows.collect()} == {1: [1.0, 0.0], 2: [1.0, 0.0], 3: [0.0, 0.0]}
+    changed = spark.createDataFrame([(1, "aa"), (2, "new")], "k long, t string")
+    assert [r["key"] for r in dense.unencoded(changed, "k", "t", rows, "m").collect()] == [2]
+    assert dense.unencoded(changed, "k", "t", rows, "other").count() == 2
+
+
+def test_nearest_of_nothing(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert dense.nearest(empty, empty, 3).count() == 0
