@@ -58,10 +58,11 @@ def _prefixes(classes: DataFrame, threshold: float, longest: int) -> DataFrame:
 
     ``need`` is the least overlap with any partner, ``own_need`` with a partner that is not smaller.
     """
-    tokens = classes.select("class", "size", F.explode("values").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h"))))
-    ranked = tokens.join(frequency, "token").groupBy("class", "size").agg(order.alias("toks"))
+    # hashes, not words, are shuffled; two words of one hash only make a further candidate
+    tokens = classes.select("class", "size", F.explode(F.transform("values", lambda v: F.xxhash64(v))).alias("h"))
+    frequency = tokens.groupBy("h").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "h")))
+    ranked = tokens.join(frequency, "h").groupBy("class", "size").agg(order.alias("toks"))
     ranked = ranked.withColumn("need", _least(threshold)).withColumn("own_need", _least(2 * threshold / (1 + threshold)))
     keep = F.least(F.col("size"), F.col("size") - F.col("need") + F.lit(longest))
     return ranked.select("class", "size", "need", "own_need", F.transform(F.slice("toks", F.lit(1), keep), lambda x: x["h"]).alias("toks"))
