@@ -7,8 +7,9 @@ with a Fenwick tree of prefix maxima, and no anchor is lost: what the best chain
 another one. Around the chained seeds an exact check compares the windows of ``span`` characters,
 grouped by their hash over all texts; aligned chains are the fuzzy passages.
 
-A seed that many texts have is not joined pairwise: its occurrences are tied to one of them (a
-star), and the exact check, which only ever counts texts per window hash, covers the rest.
+For the exact check a seed that many texts have is not joined pairwise: its occurrences are tied to
+one of them (a star), and the check, which only ever counts texts per window hash, covers the rest.
+The fuzzy passages have no such check behind them, so their seeds are joined pairwise, all of them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SPAN = 200
 K = 64
 #: Seeds with more occurrences are tied as a star instead of pairwise.
 PAIRWISE = 12
+#: Occurrences of a seed that one task joins with all others of the seed.
+SLICE = 256
 #: Cost of a skipped character in a chain, in matched characters.
 GAP_COST = 0.05
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -227,6 +230,16 @@ def seeds_of(texts: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(_seed_batches(span, k), "doc long, pos long, h long, left long, right long")
 
 
+def all_anchors(seeds: DataFrame) -> DataFrame:
+    """(a, b, pa, pb): every two occurrences of a seed in two texts, a < b; frequent seeds are joined in slices."""
+    seeds = seeds.select("doc", "pos", "h")
+    counted = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y")
+    held = seeds.join(counted, "h").withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+    left = held.select("h", F.pmod(F.hash("doc", "pos"), "slices").alias("slice"), F.col("doc").alias("a"), F.col("pos").alias("pa"))
+    right = held.select("h", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc").alias("b"), F.col("pos").alias("pb"))
+    return left.join(right, ["h", "slice"]).filter("a < b").select("a", "b", "pa", "pb")
+
+
 def shared_anchors(seeds: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     """(a, b, pa, pb): seeds that two texts share, a < b; for frequent seeds the star of one text."""
     seeds = seeds.select("doc", "pos", "h")
@@ -317,8 +330,8 @@ def shared_lengths(documents: DataFrame, key: str = "doc_id", text: str = "text"
     return out.filter("shared > 0").select(F.col("doc").alias(key), F.col("shared").cast("long").alias("shared_chars"))
 
 
-def _identity(a: str, b: str, a_at: np.ndarray, b_at: np.ndarray, k: int) -> tuple[int, float]:
-    """(aligned characters, share of equal ones): seeds match as they are, gaps between them are aligned."""
+def _identity(a: str, b: str, a_at: np.ndarray, b_at: np.ndarray, k: int) -> tuple[int, int]:
+    """(aligned characters, equal ones): seeds match as they are, gaps between them are aligned."""
     equal, total, x, y = 0, 0, int(a_at[0]), int(b_at[0])
     for p, q in zip(a_at, b_at):
         p, q = int(p), int(q)
@@ -329,29 +342,51 @@ def _identity(a: str, b: str, a_at: np.ndarray, b_at: np.ndarray, k: int) -> tup
         new = k - max(x - p, y - q, 0)
         equal, total = equal + max(new, 0), total + max(new, 0)
         x, y = p + k, q + k
-    return total, equal / total if total else 0.0
+    return total, equal
+
 
+def _common(a: str, b: str) -> int:
+    """The length of the longest common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
 
-def fuzzy_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K, least_anchors: int = 2, **params) -> DataFrame:
-    """(doc_a, doc_b, a_start, a_end, b_start, b_end, anchors, identity) of aligned chains of distinct texts."""
+
+def fuzzy_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K, least_anchors: int = 2) -> DataFrame:
+    """(doc_a, doc_b, a_start, a_end, b_start, b_end, anchors, identity) of aligned chains of distinct texts.
+
+    Every two texts that share a seed are compared, and a chain is extended to both sides as far as
+    the texts agree, by at most ``span`` characters (a longer run has further seeds, in this chain or
+    another). Chains of fewer than ``least_anchors`` seeds stay if they so reach ``span`` characters.
+    A shared span has a seed, so each one of ``span`` or more characters lies in a passage of its
+    pair. The rows of a passage grow as the square of the texts that have it. Of equal texts the
+    least key stands for all.
+    """
     _, texts = text_classes(documents, key, text, span)
     texts = cut(texts)
-    linked = chains(shared_anchors(cut(seeds_of(texts, span, k)), **params), k).filter(F.col("anchors") >= least_anchors)
-    cut_out = lambda c, at: F.expr(f"substring({c}, int({at}[0]) + 1, int(element_at({at}, -1) - {at}[0]) + {k})")
+    linked = chains(all_anchors(cut(seeds_of(texts, span, k))), k)
+    cut_out = lambda c, at: F.expr(f"substring({c}, int(greatest({at}[0] - {span}, 0)) + 1, int(element_at({at}, -1) - greatest({at}[0] - {span}, 0)) + {k + span})")
     with_a = linked.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").withColumn("ta", cut_out("ta", "a_at"))
     both = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").withColumn("tb", cut_out("tb", "b_at"))
 
+    def passage(ta: str, tb: str, a_at: np.ndarray, b_at: np.ndarray) -> tuple[int, int, int, int, float]:
+        low_a, low_b = max(int(a_at[0]) - span, 0), max(int(b_at[0]) - span, 0)
+        x, y = a_at - low_a, b_at - low_b
+        left = _common(ta[: int(x[0])][::-1], tb[: int(y[0])][::-1])
+        right = _common(ta[int(x[-1]) + k :], tb[int(y[-1]) + k :])
+        total, equal = _identity(ta, tb, x, y, k)
+        share = (equal + left + right) / (total + left + right)
+        return int(a_at[0]) - left, int(a_at[-1]) + k + right, int(b_at[0]) - left, int(b_at[-1]) + k + right, round(share, 4)
+
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            made = [_identity(ta, tb, x - x[0], y - y[0], k) for ta, tb, x, y in zip(df["ta"], df["tb"], df["a_at"], df["b_at"])]
-            yield pd.DataFrame(
-                {
-                    "doc_a": df["a"], "doc_b": df["b"],
-                    "a_start": [int(x[0]) for x in df["a_at"]], "a_end": [int(x[-1]) + k for x in df["a_at"]],
-                    "b_start": [int(x[0]) for x in df["b_at"]], "b_end": [int(x[-1]) + k for x in df["b_at"]],
-                    "anchors": df["anchors"], "identity": [round(m[1], 4) for m in made],
-                }
-            )
+            made = [passage(*x) for x in zip(df["ta"], df["tb"], df["a_at"], df["b_at"])]
+            out = pd.DataFrame(made, columns=["a_start", "a_end", "b_start", "b_end", "identity"])
+            out["doc_a"], out["doc_b"], out["anchors"] = df["a"].to_numpy(), df["b"].to_numpy(), df["anchors"].to_numpy()
+            out = out[(out["anchors"] >= least_anchors) | (out["a_end"] - out["a_start"] >= span)]
+            yield out[["doc_a", "doc_b", "a_start", "a_end", "b_start", "b_end", "anchors", "identity"]]
 
     schema = "doc_a long, doc_b long, a_start long, a_end long, b_start long, b_end long, anchors int, identity double"
     return both.select("a", "b", "anchors", "a_at", "b_at", "ta", "tb").mapInPandas(align, schema)

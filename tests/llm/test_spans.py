@@ -116,3 +116,26 @@ def test_fuzzy_passages(spark):
     df = spark.createDataFrame([(1, a), (2, "pre " + b)], "doc_id long, text string")
     got = S.fuzzy_passages(df, span=100, k=32).orderBy(F.desc("anchors")).first()
     assert (got["doc_a"], got["doc_b"]) == (1, 2) and 0.97 < got["identity"] < 1 and got["a_end"] - got["a_start"] > 600
+
+
+def test_fuzzy_passages_hold_every_shared_window(spark):
+    docs = made(1, n=60)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {}
+    for r in S.fuzzy_passages(df, span=40, k=16).collect():
+        found.setdefault((r["doc_a"], r["doc_b"]), []).append(r)
+    first = {}
+    for n, t in docs:
+        first.setdefault(t, n)
+    at, pairs = {}, set()
+    for t, n in first.items():
+        for p in range(len(t) - 39):
+            at.setdefault(t[p : p + 40], []).append((n, p))
+    for places in at.values():
+        for a, p in places:
+            for b, q in places:
+                if a < b:
+                    pairs.add((a, b))
+                    assert any(r["a_start"] <= p and p + 40 <= r["a_end"] and r["b_start"] <= q and q + 40 <= r["b_end"] for r in found.get((a, b), []))
+    assert any(len({n for n, _ in places}) > S.PAIRWISE for places in at.values())
+    assert any(r["anchors"] == 1 for rs in found.values() for r in rs)
