@@ -87,6 +87,29 @@ def absorb(base: DataFrame, other: DataFrame, on: str = "id") -> DataFrame:
     )
 
 
+def tied_notes(ties: DataFrame, notes: DataFrame, on: str = "id", by: str = "t") -> DataFrame:
+    """(on, title, content, tags, aliases, links, applies_norm): all notes that ``ties`` (on, by) bring to a concept, in one row for ``absorb``.
+
+    Absorbing that row equals absorbing the notes one by one by note_id: titles become aliases, lists
+    keep the order in which their values first come, of the longest contents the first stays. Values
+    are made distinct before they are gathered, so a concept with many notes is spread over its values.
+    """
+    pairs = ties.select(on, by).distinct()
+    lists = {"aliases": F.array("title")} | {c: _empty(c) for c in ("tags", "links", "applies_norm")}
+    named = lambda name: lambda x, i: F.struct(F.lit(name).alias("field"), x.alias("value"), i.alias("i"))
+    items = F.concat(*[F.transform(v, named(name)) for name, v in lists.items()])
+    values = notes.select(by, "note_id", F.explode(items).alias("x")).select(by, "x.field", "x.value", F.struct("note_id", "x.i").alias("place")).filter("value IS NOT NULL")
+    values = values.groupBy(by, "field", "value").agg(F.min("place").alias("place"))
+    values = pairs.join(values, by).groupBy(on, "field", "value").agg(F.min("place").alias("place"))
+    listed = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == name, F.struct("place", "value")))), lambda x: x["value"])
+    lists = values.groupBy(on).agg(*[listed(c).alias(c) for c in lists])
+    size = F.coalesce(F.length("content"), F.lit(0))
+    longest = notes.groupBy(by).agg(F.max(F.struct(size.alias("n"), (-F.col("note_id")).alias("m"))).alias("best"))
+    longest = pairs.join(longest, by).groupBy(on).agg(F.max("best").alias("best")).select(on, (-F.col("best.m")).alias("note_id"), "best.n")
+    content = longest.join(notes.select("note_id", "content", size.alias("n")), ["note_id", "n"]).groupBy(on).agg(F.max("content").alias("content"))
+    return content.join(lists, on, "left").select(on, F.lit(None).cast("string").alias("title"), "content", "tags", "aliases", "links", "applies_norm")
+
+
 def decide(best: DataFrame, mode: str = "harness", merge: float = MERGE, link: float = LINK) -> DataFrame:
     """(query, action, target, score): what happens to each incoming item given its nearest stored one.
 

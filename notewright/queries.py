@@ -275,12 +275,11 @@ def compounding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def absorb_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Each concept after it has taken in the merged notes that evidence of the same source ties to it."""
+    """Each concept after it has taken in, by note_id, all notes that evidence of the same source ties to it."""
     concepts = table(spark, d, "concepts")
-    ties = C.clean_evidence(table(spark, d, "evidence")).groupBy("concept_id").agg(F.min(F.regexp_extract("source", r"^t-(\d+)$", 1).try_cast("long")).alias("t"))
-    notes = table(spark, d, "notes").groupBy(F.col("source_transcript").try_cast("long").alias("t")).agg(F.min_by(F.struct("title", "content", "tags", "links", "applies_norm"), "note_id").alias("n"))
-    other = ties.join(notes, "t").select(F.col("concept_id").alias("id"), "n.*", F.array().cast("array<string>").alias("aliases"))
-    out = C.absorb(concepts, other)
+    ties = C.clean_evidence(table(spark, d, "evidence")).select(F.col("concept_id").alias("id"), F.regexp_extract("source", r"^t-(\d+)$", 1).try_cast("long").alias("t"))
+    notes = table(spark, d, "notes").select("note_id", F.col("source_transcript").try_cast("long").alias("t"), "title", "content", "tags", "links", "applies_norm")
+    out = C.absorb(concepts, C.tied_notes(ties.filter("t IS NOT NULL"), notes.filter("t IS NOT NULL")))
     return out.select("id", "title", "content", *[_joined(c).alias(c) for c in ("tags", "aliases", "links", "applies_norm")])
 
 

@@ -103,6 +103,30 @@ def test_absorb(spark):
     assert tuple(C.absorb(base, other).first()) == ("c", "T", "abc", ["x", "y"], ["U", "V"], ["l"], ["n"])
 
 
+def test_absorb_takes_in_every_tied_note(spark):
+    s = "id string, title string, content string, tags array<string>, aliases array<string>, links array<string>, applies_norm array<string>"
+    base = [("c", "T", "ab", ["x"], None, ["l"], []), ("d", "D", "long enough", None, ["A"], None, None), ("e", "E", "none tied", [], [], [], [])]
+    n = "note_id long, t long, title string, content string, tags array<string>, links array<string>, applies_norm array<string>"
+    notes = [
+        (1, 7, "U", "abc", ["y", "x"], [], ["n"]), (2, 7, "T", "abd", ["z", None, "y"], ["l", "m"], None), (3, 8, "A", None, None, None, ["n", "o"]),
+        (4, 9, None, "abcd", ["w"], ["k"], []), (5, 9, "U", "abce", ["b"], None, None), (6, 6, "never", "x" * 99, ["never"], [], []),
+    ]
+    ties = [("c", 9), ("c", 7), ("c", 7), ("d", 8), ("d", 7), ("e", 5)]
+    frame = spark.createDataFrame(base, s)
+    got = C.absorb(frame, C.tied_notes(spark.createDataFrame(ties, "id string, t long"), spark.createDataFrame(notes, n)))
+    want = {}
+    for i, title, content, tags, aliases, links, norms in base:
+        lists = [list(x or []) for x in (tags, aliases, links, norms)]
+        taken = [x for x in notes if (i, x[1]) in ties]
+        for _, _, u, c, g, k, m in taken:
+            content = c if len(c or "") > len(content) else content
+            for held, new in zip(lists, (g, [u], k, m)):
+                held += [v for v in dict.fromkeys(new or []) if v is not None and v != (title if held is lists[1] else None) and v not in held]
+        if taken:
+            want[i] = (title, content, *lists)
+    assert {r["id"]: tuple(r)[1:] for r in got.collect()} == want and len(want) == 2
+
+
 def test_markdown_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([note(1, "One title", "Text.\nMore text.", ["heart", "a-b"], ["Other", "Third one"])], NOTE)
     folder = tmp_path / "notes"
