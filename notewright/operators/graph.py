@@ -2,24 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from notewright.functions.text import tokens
-from notewright.session import cut
+from notewright.session import cut, spread
 
 #: Least spelling ratio and least Jaccard of a resolved link; decay, least flow and size of spreading activation.
 FUZZY, JACCARD = 0.82, 0.34
 DECAY, LEAST_FLOW, SETTLED = 0.65, 0.05, 20
 
 
-@pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+#: Texts in a block of links and in one of titles.
+LINKS, TITLES = 1024, 4096
+#: Classes of characters and of pairs of them; texts in one class only raise a bound.
+_CHARS, _PAIRS = 64, 256
+
+
+def _counts(codes: list[np.ndarray], classes: int, step: int) -> np.ndarray:
+    """How often each text has each class of runs of ``step`` characters."""
+    out = np.zeros((len(codes), classes), dtype=np.int32)
+    for row, c in zip(out, codes):
+        runs = c if step == 1 else c[:-1] * 31 + c[1:]
+        row += np.bincount(runs % classes, minlength=classes).astype(np.int32)
+    return out
+
+
+def _alike_spelling(least: float):
+    """Pairs of blocks to (link, title, ratio) of ``least`` or more.
+
+    The ratio is 2 M / L for M matched characters of L in both texts. M is at most the characters
+    that both have, so it bounds the ratio; and the matched runs are at most one more than the
+    L - 2 M unmatched characters, so the texts share at least M - (L - 2 M) - 1 pairs of characters.
+    Both bounds hold for the ratio of the standard library, which decides about what they let pass.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            rows = []
+            for links, titles in zip(df["links"], df["titles"]):
+                sides = []
+                for block in (links, titles):
+                    low = [x["low"] for x in block]
+                    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in low]
+                    sides.append(([x["key"] for x in block], low, np.array([len(c) for c in codes]), _counts(codes, _CHARS, 1), _counts(codes, _PAIRS, 2)))
+                (names, low, sizes, chars, pairs), (t_names, t_low, t_sizes, t_chars, t_pairs) = sides
+                for i, name in enumerate(names):
+                    total = sizes[i] + t_sizes
+                    matched = np.ceil((least - 1e-6) * total / 2)
+                    near = np.flatnonzero(np.minimum(sizes[i], t_sizes) >= matched)
+                    near = near[np.minimum(t_chars[near], chars[i]).sum(axis=1) >= matched[near]]
+                    near = near[np.minimum(t_pairs[near], pairs[i]).sum(axis=1) >= 3 * matched[near] - total[near] - 1]
+                    for j in near:
+                        ratio = round(SequenceMatcher(None, low[i], t_low[j]).ratio(), 6)
+                        if ratio >= least:
+                            rows.append((name, t_names[j], ratio))
+            yield pd.DataFrame(rows, columns=["link", "title", "ratio"])
+
+    return run
+
+
+def _blocks(texts: DataFrame, column: str, name: str, size: int) -> DataFrame:
+    """(name): the distinct texts and their lower case in blocks of about ``size``."""
+    rows = cut(texts.select(F.col(column).alias("key")).filter("key IS NOT NULL").distinct())
+    n = max(-(-rows.count() // size), 1)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)))
+    return rows.groupBy("block").agg(F.collect_list(F.struct("key", F.lower("key").alias("low"))).alias(name)).select(name)
 
 
 def exact_links(links: DataFrame, titles: DataFrame) -> DataFrame:
@@ -63,10 +115,11 @@ def jaccard_links(links: DataFrame, titles: DataFrame, least: float = JACCARD) -
 def fuzzy_links(links: DataFrame, titles: DataFrame, least: float = FUZZY) -> DataFrame:
     """(link, title, ratio): the title whose spelling is most like the link's.
 
-    Only titles that share a fifth of their terms with the link are compared by spelling.
+    Every link is compared with every title, block by block; the spelling ratio itself is taken only
+    of pairs that bounds of it let pass.
     """
-    near = _alike(links, titles, 0.2).withColumn("ratio", F.round(_ratio(F.lower("link"), F.lower("title")), 6))
-    return _first(near.filter(F.col("ratio") >= least).select("link", "title", "ratio"), "ratio")
+    blocks = spread(_blocks(links, "link", "links", LINKS).crossJoin(_blocks(titles, "title", "titles", TITLES)))
+    return _first(blocks.mapInPandas(_alike_spelling(least), "link string, title string, ratio double"), "ratio")
 
 
 def resolve_links(links: DataFrame, titles: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Ranking, vector search, graphs: against plain Python."""
 
+import difflib
 import heapq
 import math
 import random
@@ -123,6 +124,29 @@ def test_link_tiers(spark):
     }
 
 
+def test_fuzzy_links_equal_brute_force(spark):
+    rnd = random.Random(8)
+    words = ["hypertension", "tachycardia", "gait", "Reading the response", "cold hands at night", "å ä ö", "stroke", "aa", "", "x" * 260]
+
+    def misspelt(w):
+        c = list(w)
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randint(0, len(c))
+            c[at : at + rnd.randint(0, 2)] = rnd.choices("abceinost ", k=rnd.randint(0, 2))
+        return "".join(c)
+
+    titles = sorted({misspelt(w) for w in words for _ in range(12)} | {"Hypertension", "tachycardia"})
+    links = sorted({misspelt(w) for w in words for _ in range(6)} | {"hypertensoin", "tachykardia"})
+    want = {}
+    for a in links:
+        best = min((-round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 6), b) for b in titles)
+        if -best[0] >= graph.FUZZY:
+            want[a] = (best[1], -best[0])
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((links, "link"), (titles, "title"))]
+    got = {r["link"]: (r["title"], r["ratio"]) for r in graph.fuzzy_links(*frames).collect()}
+    assert got == want and want["hypertensoin"] and want["tachykardia"]
+
+
 def test_weighted_graph_prefers_authored(spark):
     a = spark.createDataFrame([("x", "y")], "src string, dst string")
     i = spark.createDataFrame([("y", "x", 0.9), ("x", "z", 0.95), ("z", "z", 0.9)], "src string, dst string, similarity double")
