@@ -65,8 +65,10 @@ def _title_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    whole = lexical.top_k(lexical.bm25(_index(spark, d), "title", "bag", _asked(spark, d), "id", "title"), 50)
-    fused = lexical.fuse(whole, lexical.top_k(_title_bm25(spark, d), 50))
+    """The best 10 of both rankings fused; every scored note is ranked."""
+    every = 2**31 - 1
+    whole = lexical.top_k(lexical.bm25(_index(spark, d), "title", "bag", _asked(spark, d), "id", "title"), every)
+    fused = lexical.fuse(whole, lexical.top_k(_title_bm25(spark, d), every))
     return lexical.top_k(fused, 10)
 
 

@@ -124,6 +124,26 @@ def test_link_tiers(spark):
     }
 
 
+def test_rrf_fuse_ranks_every_note(spark, tmp_path):
+    from notewright import queries
+
+    # the shorter the title, the fewer times its text has the word: first in one ranking, last in the other
+    notes = [("heart " + " ".join(f"word{i}{n}" for i in range(n)), [], "heart " * (6 * n), f"{n:03}.md") for n in range(80)]
+    spark.createDataFrame(notes, "title string, tags array<string>, content string, file_name string").write.parquet(str(tmp_path / "notes.parquet"))
+    spark.createDataFrame([("c", "heart")], "id string, title string").write.parquet(str(tmp_path / "concepts.parquet"))
+    where = str(tmp_path)
+    bag = queries._index(spark, where)
+    lists = [lexical.bm25(bag, "title", "bag", queries._asked(spark, where), "id", "title").collect(), queries._title_bm25(spark, where).collect()]
+    assert [len(x) for x in lists] == [80, 80]
+    score = Counter()
+    for rows in lists:
+        for rank, r in enumerate(sorted(rows, key=lambda r: (-r["score"], r["doc"])), 1):
+            score[r["doc"]] += 1 / (60 + rank)
+    want = sorted(((-round(s, 6), doc) for doc, s in score.items()))[:10]
+    got = queries.rrf_fuse(spark, where).orderBy("rank").collect()
+    assert [(-r["score"], r["doc"]) for r in got] == want
+
+
 def test_fuzzy_links_equal_brute_force(spark):
     rnd = random.Random(8)
     words = ["hypertension", "tachycardia", "gait", "Reading the response", "cold hands at night", "å ä ö", "stroke", "aa", "", "x" * 260]
