@@ -71,11 +71,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_lengths(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The shared characters of each document as ranges."""
+    return spans.shared_spans(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
+
+
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return spans.fuzzy_passages(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
 
-_QUERIES = (p1_found, p1_survivors, p2_found, p2_turns, p3_found, p3_classes, p5_found, p5_redacted, p6_ids, p7_mix, p7_shares, p8_found, p8_passages)
+_QUERIES = (p1_found, p1_survivors, p2_found, p2_turns, p3_found, p3_classes, p5_found, p5_redacted, p6_ids, p7_mix, p7_shares, p8_found, p8_spans, p8_passages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -96,19 +101,25 @@ SELECT '{facet}' AS facet, a AS note_id_a, b AS note_id_b FROM (
   GROUP BY 1, 2) WHERE shared >= {threshold} * (na + nb - shared) - 1e-9"""
 
 
-#: Every window of 200 characters, those of two documents, and the characters that they cover.
-_SHARED = """
+#: Every window of 200 characters that stands in two documents, with the one before it in its text.
+_WINDOWS = """
 WITH w AS (
   SELECT doc_id, p, substr(text, p, 200) AS s
   FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS p FROM documents WHERE length(text) >= 200)),
 c AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
-h AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w WHERE s IN (SELECT s FROM c))
+h AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w WHERE s IN (SELECT s FROM c))"""
+#: The characters that they cover, and the ranges of these.
+_SHARED = f"""{_WINDOWS}
 SELECT doc_id, CAST(sum(CASE WHEN before IS NULL THEN 200 ELSE least(200, p - before) END) AS BIGINT) AS shared_chars
 FROM h GROUP BY doc_id"""
+_RANGES = f"""{_WINDOWS},
+n AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM h)
+SELECT doc_id, CAST(min(p) - 1 AS INTEGER) AS start, CAST(max(p) + 199 AS INTEGER) AS "end" FROM n GROUP BY doc_id, n.n"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p8_found": _SHARED,
+        "p8_spans": _RANGES,
         "p3_found": _pairs_sql("tags", _TAGS, 3, 0.6) + "\nUNION ALL" + _pairs_sql("content", _WORDS, 30, 0.75),
     }
