@@ -34,6 +34,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def p3_between(spark: SparkSession, d: str) -> DataFrame:
+    """Notes and concepts whose tags overlap as those of two notes in p3_found."""
+    tables = [table(spark, d, t).select(k, setjoin.tag_set(F.col("tags")).alias("tags")) for t, k in (("notes", "note_id"), ("concepts", "id"))]
+    pairs = setjoin.similar_between(tables[0], "note_id", "tags", tables[1], "id", "tags", 0.6, 3)
+    return pairs.select(F.col("a").alias("note_id"), F.col("b").alias("concept_id"))
+
+
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per note and facet: its class of equal sets and the number of other classes it is linked to."""
     out = None
@@ -80,7 +87,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return spans.fuzzy_passages(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
 
-_QUERIES = (p1_found, p1_survivors, p2_found, p2_turns, p3_found, p3_classes, p5_found, p5_redacted, p6_ids, p7_mix, p7_shares, p8_found, p8_spans, p8_passages)
+_QUERIES = (p1_found, p1_survivors, p2_found, p2_turns, p3_found, p3_between, p3_classes, p5_found, p5_redacted, p6_ids, p7_mix, p7_shares, p8_found, p8_spans, p8_passages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -101,6 +108,12 @@ SELECT '{facet}' AS facet, a AS note_id_a, b AS note_id_b FROM (
   GROUP BY 1, 2) WHERE shared >= {threshold} * (na + nb - shared) - 1e-9"""
 
 
+_BETWEEN = f"""
+WITH a AS (SELECT note_id, {_TAGS} AS v FROM notes), b AS (SELECT id AS concept_id, {_TAGS} AS v FROM concepts),
+s AS (SELECT note_id, concept_id, len(list_intersect(a.v, b.v)) AS shared, len(a.v) AS na, len(b.v) AS nb FROM a JOIN b ON len(a.v) >= 3 AND len(b.v) >= 3)
+SELECT note_id, concept_id FROM s WHERE shared >= 0.6 * (na + nb - shared) - 1e-9"""
+
+
 #: Every window of 200 characters that stands in two documents, with the one before it in its text.
 _WINDOWS = """
 WITH w AS (
@@ -121,5 +134,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p8_found": _SHARED,
         "p8_spans": _RANGES,
+        "p3_between": _BETWEEN,
         "p3_found": _pairs_sql("tags", _TAGS, 3, 0.6) + "\nUNION ALL" + _pairs_sql("content", _WORDS, 30, 0.75),
     }

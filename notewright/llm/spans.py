@@ -240,15 +240,15 @@ def shared_anchors(seeds: DataFrame, pairwise: int = PAIRWISE) -> tuple[DataFram
     text that has its seed again is no measure of what others share with it: then all occurrences
     of the seed are left to the comparison of windows.
     """
-    counted = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("hub"), F.max("doc").alias("far")).filter("hub.doc <> far")
-    held = cut(seeds.join(counted.select("h", "n", F.col("hub.doc").alias("hub"), F.col("hub.pos").alias("at")), "h"))
+    counted = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("hub"), F.max("doc").alias("far")).filter("hub <> far")
+    held = cut(seeds.join(counted.select("h", "n", "hub"), "h"))
     few = held.filter(F.col("n") <= pairwise).select("h", "doc", "pos")
     left, right = few.select("h", F.col("doc").alias("a"), F.col("pos").alias("pa")), few.select("h", F.col("doc").alias("b"), F.col("pos").alias("pb"))
     pairs = left.join(right, "h").filter("a < b").select("a", "b", "pa", "pb", F.lit(False).alias("star"))
     many = held.filter(F.col("n") > pairwise)
-    again = many.filter("doc = hub AND pos <> at").select("h").distinct().withColumn("again", F.lit(True))
-    many = many.join(again, "h", "left")
-    star = many.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("at").alias("pa"), F.col("pos").alias("pb"), F.col("again").isNull().alias("star"))
+    hubs = many.filter("doc = hub").groupBy("h").agg(F.min("pos").alias("at"), (F.min("pos") < F.max("pos")).alias("again"))
+    many = many.join(hubs, "h")
+    star = many.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("at").alias("pa"), F.col("pos").alias("pb"), (~F.col("again")).alias("star"))
     return pairs.unionByName(star), many.filter("again").select("doc", "pos")
 
 

@@ -20,6 +20,31 @@ def got_pairs(spark, sets, threshold, least, **params):
     return {tuple(r) for r in S.similar_pairs(df.withColumn("values", F.col("v")), "id", "values", threshold, least, **params).collect()}
 
 
+def test_two_tables(spark):
+    random.seed(5)
+    words = [f"w{i}" for i in range(20)] + ["hot"] * 25
+    sides = [{i: set(random.choices(words, k=random.randint(1, 8))) for i in range(n)} for n in (90, 70)]
+    left = spark.createDataFrame([(k, sorted(v)) for k, v in sides[0].items()] + [(None, ["a", "b"]), (500, None)], "id long, v array<string>")
+    right = spark.createDataFrame([(f"r{k}", sorted(v) + [None]) for k, v in sides[1].items()], "name string, v array<string>").withColumn("key", F.lit(1))
+    want = {(a, f"r{b}") for a, x in sides[0].items() for b, y in sides[1].items() if min(len(x), len(y)) >= 2 and len(x & y) >= 0.6 * len(x | y) - 1e-9}
+    for params in ({}, {"postings": 1, "max_tokens": 2}):
+        assert {tuple(r) for r in S.similar_between(left, "id", "v", right, "name", "v", 0.6, 2, **params).collect()} == want
+    assert S.similar_between(left.limit(0), "id", "v", right, "name", "v", 0.6, 2).count() == 0
+
+
+def test_a_hot_set_of_tokens_is_joined_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLICE", 3)
+    sets = {i: {"a", "b", "c", "d", f"x{i % 7}"} for i in range(40)}
+    assert got_pairs(spark, sets, 0.6, 2, postings=2, max_tokens=2) == brute(sets, 0.6, 2)
+
+
+def test_few_ranked_tokens(spark, monkeypatch):
+    monkeypatch.setattr(S.ranked_tokens, "__defaults__", (3,))
+    random.seed(8)
+    sets = {i: set(random.choices([f"w{j}" for j in range(15)], k=random.randint(2, 7))) for i in range(80)}
+    assert got_pairs(spark, sets, 0.6, 2, postings=4) == brute(sets, 0.6, 2)
+
+
 @pytest.mark.parametrize("threshold,postings,longest", [(0.6, 2, 3), (0.75, 1, 2), (0.5, 40, 1), (0.9, 3, 4)])
 def test_equals_all_pairs(spark, threshold, postings, longest):
     random.seed(longest)
