@@ -22,12 +22,17 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from notewright.session import cut, spread
 
 KINDS = ("name", "email", "phone", "national_id", "address")
+#: Most rounds of scoring, belief from which a candidate is accepted, trust from which a title alone makes a name of the word after it.
 ROUNDS = 5
-ACCEPT = 0.5
+ACCEPT, TITLED = 0.5, 0.3
+#: Candidates and patterns of more edges are parted in joins, into so many parts.
+HOT, SALTS = 50_000, 16
 FIELDS = ("transcription", "clinical_note")
+#: Shorter numbers are measurements, days and times.
+LEAST_DIGITS = 6
 
 _WORD = re.compile(r"\p{L}[\p{L}\p{M}'’]*")
-_CAPS = re.compile(r"(?<![\p{L}\p{N}_@.+-])\p{Lu}[\p{L}\p{M}'’]{2,}(?:-\p{L}[\p{L}\p{M}'’]{2,})?(?![\p{L}\p{N}_@])")
+_CAPS = re.compile(r"(?<![\p{L}\p{N}_@.+-])\p{Lu}[\p{L}\p{M}'’]+(?:-\p{L}[\p{L}\p{M}'’]+)?(?![\p{L}\p{N}_@])")
 _NUMBER = re.compile(r"(?<![\p{L}\p{N}_.,:/+-])(?:\+ ?)?(?:\(\d{1,5}\)|\d+)(?:[ .-]?(?:\(\d{1,4}\)|\d+)|\+(?=\d{4}\b)\d+)*(?![\p{L}\p{N}_/]|[:,.]\d)")
 EMAIL = re.compile(
     r"(?i)(?<![\w.+-])[\p{L}\d][\p{L}\d_.+-]*(?:\s?@\s?|\s?[\[({]\s?(?:at|snabel-?a)\s?[\])}]\s?)[\p{L}][\p{L}\d-]*(?:(?:\.|\s?[\[({]?\bdot\b[\])}]?\s?)[\p{L}][\p{L}\d-]*)+"
@@ -43,6 +48,8 @@ STREET_ENDINGS = "gatan vägen stigen torget gränd allén straße strasse".spli
 #: Written apart from the street's own name, in lower case.
 _APART = {"gränd", "gata", "gatan", "väg", "vägen", "stig", "stigen", "torg", "torget", "allé", "allén", "weg", "straße", "strasse", "platz", "gasse"}
 _TITLES = {"dr", "mr", "mrs", "ms", "doctor", "doktor", "prof", "professor", "sister", "syster", "miss"}
+_LEFT = re.compile(r"[\p{L}'’-]+\.?|\d+|[:,;(<|>]|[.!?](?=\s|$)")
+_RIGHT = re.compile(r"[\p{L}'’-]+|\d+|[:,;)>.|]")
 _NOISE = re.compile(r"(?i)\[[^\]\n]{1,40}\]|\(\(?[^()\n]{1,40}\)\)?|<[^<>@\n]{1,40}>|\{[^{}\n]{1,40}\}|\*+|\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?|(?<!\S)(?:u+h*m*|e+h?m*|e?rm+|er|h+m+|mm+|ö+h+)(?:\.\.\.|,)?(?!\S)")
 
 
@@ -50,8 +57,7 @@ def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
     """Last word, last two words to the left, next word to the right; names in capitals become ``<C>``."""
     left = _NOISE.sub(" ", text[max(0, start - 70) : start])
     right = _NOISE.sub(" ", text[end : end + 40])
-    words = re.findall(r"[\p{L}'’-]+\.?|\d+|[:,;(<|>]|[.!?](?=\s|$)", left)[-2:]
-    after = re.findall(r"[\p{L}'’-]+|\d+|[:,;)>.|]", right)[:1]
+    words, after = _LEFT.findall(left)[-2:], _RIGHT.findall(right)[:1]
 
     def plain(w: str) -> str:
         if w[0].isdigit():
@@ -90,7 +96,7 @@ def outline(number: str) -> str:
 def _numbers(text: str) -> Iterator[tuple[int, int]]:
     for m in _NUMBER.finditer(text):
         a, b = m.span()
-        if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+        if sum(c.isdigit() for c in m.group()) >= LEAST_DIGITS:
             yield a, b
 
 
@@ -110,9 +116,17 @@ def _streets(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), end + (low == "ave" and text[end : end + 1] == "."), low
 
 
+_AT = re.compile(r"(?i)[\[({]\s?(?:at|snabel)")
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Spans of e-mail addresses; texts without any form of @ are not searched."""
+    return [m.span() for m in EMAIL.finditer(text)] if "@" in text or "dot" in text.lower() or _AT.search(text) else []
+
+
 def _candidates(text: str) -> Iterator[tuple[str, str, str]]:
     """(class, value, pattern) of every candidate of a text."""
-    masked = [m.span() for m in EMAIL.finditer(text)]
+    masked = _emails(text)
     inside = lambda a, b: any(x < b and a < y for x, y in masked)
 
     def around(a: int, b: int) -> list[str]:
@@ -164,7 +178,7 @@ def seeds(patterns: DataFrame, person_names: DataFrame) -> DataFrame:
     """(class, value, label): what is known before the first round."""
     part = F.lower(F.trim("part_of_name"))
     listed = person_names.select(F.explode(F.split(F.lower(F.trim("name")), r"[\s-]+")).alias("value"), part.alias("label"))
-    known = patterns.select(F.lower(F.trim("pii_type")).alias("kind"), F.trim("pattern").alias("p")).filter(F.length("p") >= 5)
+    known = patterns.select(F.lower(F.trim("pii_type")).alias("kind"), F.trim("pattern").alias("p")).filter(F.length("p") >= 2)
     numbers = known.filter(F.col("kind").isin("phone", "national_id")).select(F.lit("number").alias("class"), F.col("p").alias("value"), F.col("kind").alias("label"))
     streets = known.filter("kind = 'address'").select(
         F.lit("street").alias("class"),
@@ -172,7 +186,7 @@ def seeds(patterns: DataFrame, person_names: DataFrame) -> DataFrame:
         F.lit("address").alias("label"),
     )
     # "Given Family", "Family, Given": the parts of known names
-    whole = known.filter("kind = 'name' AND p RLIKE '^\\\\p{L}{3,}( \\\\p{L}\\\\.)?,? \\\\p{L}{3,}(-\\\\p{L}{3,})?$'")
+    whole = known.filter("kind = 'name' AND p RLIKE '^\\\\p{L}{2,}( \\\\p{L}\\\\.)?,? \\\\p{L}{2,}(-\\\\p{L}{2,})?$'")
     ends = F.split(F.lower("p"), r",? (?:\p{L}\. )?")
     turned = F.col("p").contains(",")
     pair = F.array(
@@ -186,57 +200,84 @@ def seeds(patterns: DataFrame, person_names: DataFrame) -> DataFrame:
     return out.filter("value <> '' AND label IN ('given', 'family', 'phone', 'national_id', 'address')").distinct()
 
 
-def score_graph(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
-    """(class, value, label, score): belief in each candidate after ``rounds`` of scoring.
+def _salted(rows: DataFrame, few: DataFrame, on: str, by: str, hot: str) -> DataFrame:
+    """``rows`` joined with the few rows that ``few`` has of each key; frequent keys (``hot`` in both) are parted by ``by``."""
+    spread_out = rows.withColumn("salt", F.when(F.col(hot), F.pmod(F.col(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop(hot)
+    copies = few.withColumn("salt", F.explode(F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(hot)
+    return spread_out.join(copies, [on, "salt"]).drop("salt")
+
+
+def score_graph(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
+    """(class, value, label, score): belief in each candidate, and (class, pattern, label, trust) of the last round.
 
     ``edges`` are (class, value, pattern), each once. Seeds keep score 1. Both steps are grouped
-    sums, combined before the shuffle, so a pattern that a third of all candidates share is no
-    hot task; between rounds only the scores are written.
+    sums, combined before the shuffle, over 64-bit ids of candidates and patterns; ids that many edges
+    have are parted in the joins, so a pattern that a third of all candidates share is no hot task.
+    Scoring ends after ``rounds``, or before if the number of accepted candidates and their scores stay.
+    Between rounds only the scores are written.
     """
-    breadth = edges.groupBy("class", "pattern").agg(F.count("*").alias("n"))
-    linked = cut(edges.join(breadth.filter("n > 1"), ["class", "pattern"]))
+    ids = edges.select("class", "value", "pattern", F.xxhash64("class", "value").alias("v"), F.xxhash64("class", "pattern").alias("p"))
+    breadth = ids.groupBy("p").agg(F.count("*").alias("n"))
     # affixes and shapes count as much together as the surroundings; none that is shared is no evidence
     inner = F.col("pattern").rlike("^[HSPE]")
-    breadths = linked.groupBy("class", "value").agg(F.count_if(inner).alias("n_in"), F.count_if(~inner).alias("n_out"))
-    number = F.col("class") == "number"
-    seeded = known.select("class", "value", "label", F.lit(1.0).alias("score"))
-    belief = seeded.join(edges.select("class", "value").distinct(), ["class", "value"], "left_semi")
+    linked = ids.select("v", "p", inner.alias("inner"), F.col("pattern").rlike("^[LM]").alias("before"), (F.col("class") == "number").alias("number")).join(breadth.filter("n > 1"), "p")
+    breadths = linked.groupBy("v").agg(F.count_if("inner").alias("n_in"), F.count_if(~F.col("inner")).alias("n_out"), F.first("number").alias("number"), (F.count("*") > HOT).alias("hot_v"))
+    breadths = cut(breadths)
+    linked = cut(linked.join(breadths.select("v", "hot_v"), "v").withColumn("hot_p", F.col("n") > HOT).drop("number"))
+    seeded = cut(known.select(F.xxhash64("class", "value").alias("v"), "label", F.lit(1.0).alias("score")).join(ids.select("v").distinct(), "v", "left_semi"))
+    belief, before = seeded, None
     for _ in range(rounds):
-        heard = linked.join(belief, ["class", "value"]).groupBy("class", "pattern", "label").agg((F.sum("score") / (F.max("n") + 1)).alias("trust"))
-        within, around = F.when(inner, F.col("trust")), F.when(~inner, F.col("trust"))
-        sums = linked.join(heard, ["class", "pattern"]).groupBy("class", "value", "label").agg(
-            F.sum(F.coalesce(within, F.lit(0.0))).alias("t_in"), F.sum(F.coalesce(around, F.lit(0.0))).alias("t_out"), F.coalesce(F.max(F.when(F.col("pattern").rlike("^[LM]"), F.col("trust"))), F.lit(0.0)).alias("top_out")
+        told = belief.join(breadths.select("v", "hot_v"), "v")
+        heard = _salted(linked.select("v", "p", "n", "hot_v"), told, "v", "p", "hot_v").groupBy("p", "label").agg((F.sum("score") / (F.max("n") + 1)).alias("trust"), (F.max("n") > HOT).alias("hot_p"))
+        heard = cut(heard)
+        within, around = F.when(F.col("inner"), F.col("trust")), F.when(~F.col("inner"), F.col("trust"))
+        sums = _salted(linked.select("v", "p", "inner", "before", "hot_p"), heard, "p", "v", "hot_p").groupBy("v", "label").agg(
+            F.sum(F.coalesce(within, F.lit(0.0))).alias("t_in"), F.sum(F.coalesce(around, F.lit(0.0))).alias("t_out"), F.coalesce(F.max(F.when(F.col("before"), F.col("trust"))), F.lit(0.0)).alias("top_out")
         )
         t_in, t_out = F.col("t_in") / F.greatest("n_in", F.lit(1)), F.col("t_out") / F.greatest("n_out", F.lit(1))
         # a number's form and the best of what stands before it must both speak for it
-        score = F.when(number, F.sqrt(t_in * F.col("top_out"))).otherwise((t_in + t_out) / 2)
-        found = sums.join(breadths, ["class", "value"]).select("class", "value", "label", score.alias("score"))
+        score = F.when(F.col("number"), F.sqrt(t_in * F.col("top_out"))).otherwise((t_in + t_out) / 2)
+        found = sums.join(breadths, "v").select("v", "label", "number", score.alias("score"))
         # confident numbers count in full in the next round
-        found = found.withColumn("score", F.when(number & (F.col("score") >= accept), F.lit(1.0)).otherwise(F.col("score")))
-        belief = cut(found.unionByName(seeded.select("class", "value", "label", "score")).groupBy("class", "value", "label").agg(F.max("score").alias("score")))
-    return belief
-
-
-def lexicon(texts: DataFrame, patterns: DataFrame, person_names: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
-    """(class, value, label, score) of the accepted parts: for each value the label with the most belief."""
+        found = found.select("v", "label", F.when(F.col("number") & (F.col("score") >= accept), F.lit(1.0)).otherwise(F.col("score")).alias("score"))
+        belief = cut(found.unionByName(seeded).groupBy("v", "label").agg(F.max("score").alias("score")))
+        now = belief.agg(F.count_if(F.col("score") >= accept).alias("n"), F.round(F.sum("score"), 3).alias("s")).first()
+        if now == before:
+            break
+        before = now
+    names = edges.select("class", "value", F.xxhash64("class", "value").alias("v")).distinct()
+    scored = belief.filter(F.col("score") >= accept).join(names, "v").select("class", "value", "label", "score")
+    spoken = edges.filter("class = 'word'").select("class", "pattern", F.xxhash64("class", "pattern").alias("p")).filter(F.col("pattern").isin(*[f"L {t}" for t in sorted(_TITLES)])).distinct()
+    return scored, heard.join(F.broadcast(spoken), "p").select("class", "pattern", "label", "trust")  # at most one row a title
+
+
+def lexicon(texts: DataFrame, patterns: DataFrame, person_names: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> tuple[DataFrame, set[str]]:
+    """(class, value, label, score) of the accepted parts: for each value the label with the most belief; and the titles that names follow."""
     edges = texts.select(_scan(F.col("text")).alias("text")).mapInArrow(_graph_batches, "class string, value string, pattern string").distinct()
     edges = cut(edges)
     ends = edges.filter((F.col("class") == "street") & F.col("value").rlike("(" + "|".join(STREET_ENDINGS) + ")$"))
     known = seeds(patterns, person_names).unionByName(ends.select("class", "value", F.lit("address").alias("label"))).distinct()
-    scored = score_graph(edges, known, rounds, accept)
+    scored, trusted = score_graph(edges, known, rounds, accept)
     best = scored.groupBy("class", "value").agg(F.max(F.struct("score", "label")).alias("b"))
-    return best.select("class", "value", "b.label", "b.score").filter(F.col("score") >= accept)
+    titles = trusted.groupBy("pattern").agg(F.sum("trust").alias("trust")).filter(F.col("trust") >= TITLED).collect()  # of the fixed list of titles
+    return best.select("class", "value", "b.label", "b.score"), {r["pattern"][2:] for r in titles}
+
+
+_PARTS = re.compile(r"\p{L}[\p{L}\p{M}'’]*(?:-\p{L}[\p{L}\p{M}'’]*)*")
+_TITLE_BEFORE = re.compile(r"(?<![\p{L}\p{N}])(?i:dr|mr|mrs|ms|doctor|doktor|prof)\.?\s+$")
+_AFTER_TITLE = re.compile(r"(?<![\p{L}\p{N}])(Dr|dr|Mr|Mrs|Ms)\.?\s{1,6}(\p{Lu}[\p{L}\p{M}'’]{2,}(?:-\p{Lu}[\p{L}\p{M}'’]+)?)")
+_SIGN_AFTER = re.compile(r"(?i)\s+(?:sign|disease|test|tecken|sjukdom|syndrome|pattern|\p{L}+ sign)\b")
 
 
 def _titled(text: str, at: int) -> bool:
     """Whether a title stands before, hesitations and sounds between them left out."""
-    return bool(re.search(r"(?<![\p{L}\p{N}])(?i:dr|mr|mrs|ms|doctor|doktor|prof)\.?\s+$", _NOISE.sub(" ", text[max(0, at - 60) : at])))
+    return bool(_TITLE_BEFORE.search(_NOISE.sub(" ", text[max(0, at - 60) : at])))
 
 
-def _name_spans(text: str, roles: dict[str, str], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Spans of whole names from the tokens of a text and the accepted parts among them."""
+def _name_spans(text: str, roles: dict[str, str], taken: list[tuple[int, int]], titles: frozenset[str] | set[str]) -> Iterator[tuple[int, int]]:
+    """Spans of whole names from the tokens of a text and the accepted parts among them, and words after trusted titles."""
     tokens = []
-    for m in re.finditer(r"\p{L}[\p{L}\p{M}'’]*(?:-\p{L}[\p{L}\p{M}'’]*)*", text):
+    for m in _PARTS.finditer(text):
         a, b = m.span()
         if any(x < b and a < y for x, y in taken):
             continue
@@ -276,16 +317,17 @@ def _name_spans(text: str, roles: dict[str, str], taken: list[tuple[int, int]])
             titled = _titled(text, a)
             if titled or ("F" in kinds and len(kinds) > 1):
                 yield a, end
-            elif len(kinds) == 1 and word[0].isupper() and kind == "F" and not re.match(r"(?i)\s+(?:sign|disease|test|tecken|sjukdom|syndrome|pattern|\p{L}+ sign)\b", text[end:]):
+            elif len(kinds) == 1 and word[0].isupper() and kind == "F" and not _SIGN_AFTER.match(text, end):
                 yield a, end
         i = max(j, i) + 1
-    for m in re.finditer(r"(?<![\p{L}\p{N}])(?:Dr|dr|Mr|Mrs|Ms)\.?\s{1,6}(\p{Lu}[\p{L}\p{M}'’]{2,}(?:-\p{Lu}[\p{L}\p{M}'’]+)?)", text):
-        yield m.span(1)
+    for m in _AFTER_TITLE.finditer(text):
+        if m.group(1).lower() in titles:
+            yield m.span(2)
 
 
-def spans(text: str, parts: list[tuple[str, str]], numbers: list[tuple[str, str]], streets: set[str]) -> list[tuple[int, int, str]]:
+def spans(text: str, parts: list[tuple[str, str]], numbers: list[tuple[str, str]], streets: set[str], titles: frozenset[str] | set[str] = frozenset(_TITLES)) -> list[tuple[int, int, str]]:
     """(start, end, kind) without overlaps, in order: emails, numbers, addresses, names."""
-    found: list[tuple[int, int, str]] = [(*m.span(), "email") for m in EMAIL.finditer(text)]
+    found: list[tuple[int, int, str]] = [(a, b, "email") for a, b in _emails(text)]
     free = lambda a, b: all(b <= x or y <= a for x, y, _ in found)
     label = dict(numbers)
     for a, b in _numbers(text):
@@ -296,7 +338,7 @@ def spans(text: str, parts: list[tuple[str, str]], numbers: list[tuple[str, str]
         if word in streets and free(a, b):
             found.append((a, b, "address"))
     roles = dict(parts)
-    for a, b in sorted(_name_spans(text, roles, [f[:2] for f in found]), key=lambda s: s[0] - s[1]):
+    for a, b in sorted(_name_spans(text, roles, [f[:2] for f in found], titles), key=lambda s: s[0] - s[1]):
         if free(a, b):
             found.append((a, b, "name"))
     return sorted(found)
@@ -306,24 +348,27 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
 
-def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, held, scans = (batch.column(n).to_pylist() for n in (2, 3, 4))
-        out = []
-        for text, parts, scan in zip(texts, held, scans):
-            by = {"word": [], "number": [], "street": []}
-            for p in parts or []:
-                by[p["class"]].append((p["value"], p["label"]))
-            found = spans(scan, by["word"], by["number"], {v for v, _ in by["street"]})
-            out.append([{"start": a, "end": b, "kind": k, "value": text[a:b]} for a, b, k in found])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, _SPANS_ARROW)], names=["id", "field_name", "text", "spans"])
+def _span_batches(titles: set[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, held, scans = (batch.column(n).to_pylist() for n in (2, 3, 4))
+            out = []
+            for text, parts, scan in zip(texts, held, scans):
+                by = {"word": [], "number": [], "street": []}
+                for p in parts or []:
+                    by[p["class"]].append((p["value"], p["label"]))
+                found = spans(scan, by["word"], by["number"], {v for v, _ in by["street"]}, titles)
+                out.append([{"start": a, "end": b, "kind": k, "value": text[a:b]} for a, b, k in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, _SPANS_ARROW)], names=["id", "field_name", "text", "spans"])
+
+    return run
 
 
 def _present(text: Column) -> Column:
-    """What of a text may be in the lexicon: its words of three or more letters and its long numbers."""
+    """What of a text may be in the lexicon: its words of two or more letters and its longer numbers."""
     words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}[\p{L}\p{M}'’]+)"), F.lit(1))), lambda w: F.struct(F.lit("w").alias("type"), w.alias("value")))
     number = r"((?:\+ ?)?(?:\(\d{1,5}\)|\d+)(?:[ .-]?(?:\(\d{1,4}\)|\d+)|\+(?=\d{4}\b)\d+)*)"
-    numbers = F.transform(F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(number), F.lit(1))), lambda x: F.length(x) >= 8), lambda x: F.struct(F.lit("n").alias("type"), x.alias("value")))
+    numbers = F.transform(F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(number), F.lit(1))), lambda x: F.length(x) >= LEAST_DIGITS), lambda x: F.struct(F.lit("n").alias("type"), x.alias("value")))
     return F.concat(words, numbers)
 
 
@@ -336,7 +381,8 @@ def find_spans(transcriptions: DataFrame, patterns: DataFrame, person_names: Dat
     read; empty tables give an empty result (with empty lists the fixed street words still seed).
     """
     texts = cut(spread(texts_of(transcriptions), "id", "field_name"))
-    accepted = cut(lexicon(texts, patterns, person_names, rounds, accept))
+    accepted, titles = lexicon(texts, patterns, person_names, rounds, accept)
+    accepted = cut(accepted)
     kind = F.when(F.col("class") == "number", F.lit("n")).otherwise(F.lit("w"))
     held = texts.select("id", "field_name", F.sha2("text", 256).alias("mark"), F.explode(_present(_scan(F.col("text")))).alias("x"))
     held = held.select("id", "field_name", "mark", "x.type", "x.value").join(accepted.select(kind.alias("type"), "value", "class", "label"), ["type", "value"])
@@ -344,7 +390,7 @@ def find_spans(transcriptions: DataFrame, patterns: DataFrame, person_names: Dat
     joined = texts.join(lists, texts["id"].eqNullSafe(F.col("i")) & (texts["field_name"] == F.col("f")) & (F.sha2(texts["text"], 256) == F.col("m")), "left")
     kind_of_id = transcriptions.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind_of_id), T.StructField("field_name", T.StringType()), T.StructField("text", T.StringType()), T.StructField("spans", _SPANS)])
-    return joined.select("id", "field_name", "text", "parts", _scan(F.col("text")).alias("scan")).mapInArrow(_span_batches, schema)
+    return joined.select("id", "field_name", "text", "parts", _scan(F.col("text")).alias("scan")).mapInArrow(_span_batches(titles), schema)
 
 
 def found_values(found: DataFrame) -> DataFrame:
