@@ -12,6 +12,7 @@ E-mail addresses have a form of their own and need no scoring.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date
 
@@ -53,11 +54,21 @@ _RIGHT = re.compile(r"[\p{L}'’-]+|\d+|[:,;)>.|]")
 _NOISE = re.compile(r"(?i)\[[^\]\n]{1,40}\]|\(\(?[^()\n]{1,40}\)\)?|<[^<>@\n]{1,40}>|\{[^{}\n]{1,40}\}|\*+|\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?|(?<!\S)(?:u+h*m*|e+h?m*|e?rm+|er|h+m+|mm+|ö+h+)(?:\.\.\.|,)?(?!\S)")
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """Last word, last two words to the left, next word to the right; names in capitals become ``<C>``."""
-    left = _NOISE.sub(" ", text[max(0, start - 70) : start])
-    right = _NOISE.sub(" ", text[end : end + 40])
-    words, after = _LEFT.findall(left)[-2:], _RIGHT.findall(right)[:1]
+def _context(text: str, start: int, end: int, noise: list[tuple[int, int]]) -> tuple[str, str, str]:
+    """Last word, last two words to the left, next word to the right; names in capitals become ``<C>``.
+
+    ``noise`` has the spans of sounds and times in the text, in order; what stands before and behind
+    them is the candidate's neighbour.
+    """
+    n = bisect_left(noise, (start - 70, 0))
+    clean = not (n < len(noise) and noise[n][0] < end + 40) and not (n and noise[n - 1][1] > start - 70)
+    words = _LEFT.findall(text, max(0, start - 32), start) if clean else []
+    if len(words) < 3:  # the first of three may be cut
+        left = text[max(0, start - 70) : start]
+        words = _LEFT.findall(left if clean else _NOISE.sub(" ", left))
+    words = words[-2:]
+    right = text[end : end + 40]
+    after = _RIGHT.search(right if clean else _NOISE.sub(" ", right))
 
     def plain(w: str) -> str:
         if w[0].isdigit():
@@ -66,7 +77,7 @@ def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
         return "<C>" if w[0].isupper() and len(w) > 4 and low not in _TITLES and not w.endswith(".") and len(words) > 1 and w != words[0] else low
 
     marked = [plain(w) for w in words]
-    return (marked[-1] if marked else "^", " ".join(marked) if len(marked) == 2 else "^", plain(after[0]) if after else "$")
+    return (marked[-1] if marked else "^", " ".join(marked) if len(marked) == 2 else "^", plain(after.group()) if after else "$")
 
 
 def _real_day(digits: str) -> bool:
@@ -127,10 +138,11 @@ def _emails(text: str) -> list[tuple[int, int]]:
 def _candidates(text: str) -> Iterator[tuple[str, str, str]]:
     """(class, value, pattern) of every candidate of a text."""
     masked = _emails(text)
+    noise = [m.span() for m in _NOISE.finditer(text)]
     inside = lambda a, b: any(x < b and a < y for x, y in masked)
 
     def around(a: int, b: int) -> list[str]:
-        left, two, right = _context(text, a, b)
+        left, two, right = _context(text, a, b, noise)
         return [f"L {left}", f"M {two}", f"R {right}"]
 
     for a, b in _numbers(text):
@@ -279,17 +291,22 @@ def _name_spans(text: str, roles: dict[str, str], taken: list[tuple[int, int]],
     tokens = []
     for m in _PARTS.finditer(text):
         a, b = m.span()
+        word = m.group()
+        low = word.lower()
+        if low not in roles and "-" not in low and b - a > 1:
+            tokens.append((a, b, "T" if low in _TITLES else "-", word))
+            continue
         if any(x < b and a < y for x, y in taken):
             continue
-        parts = m.group().lower().split("-")
+        parts = low.split("-")
         known = [roles.get(p) for p in parts]
-        if len(m.group()) == 1 and m.group().isupper() and text[b : b + 1] == ".":
+        if b - a == 1 and word.isupper() and text[b : b + 1] == ".":
             kind, b = "I", b + 1
         elif all(known):
             kind = "F" if "family" in known or len(known) > 1 else "G"
         else:
-            kind = "T" if m.group().lower() in _TITLES else "-"
-        tokens.append((a, b, kind, m.group()))
+            kind = "T" if low in _TITLES else "-"
+        tokens.append((a, b, kind, word))
     i = 0
     while i < len(tokens):
         a, b, kind, word = tokens[i]
@@ -366,7 +383,8 @@ def _span_batches(titles: set[str]):
 
 def _present(text: Column) -> Column:
     """What of a text may be in the lexicon: its words of two or more letters and its longer numbers."""
-    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}[\p{L}\p{M}'’]+)"), F.lit(1))), lambda w: F.struct(F.lit("w").alias("type"), w.alias("value")))
+    parts = F.split(F.concat(F.lit(" "), F.lower(text)), r"[^\p{L}\p{M}'’]+[\p{M}'’]*")
+    words = F.transform(F.array_distinct(F.filter(parts, lambda w: F.length(w) > 1)), lambda w: F.struct(F.lit("w").alias("type"), w.alias("value")))
     number = r"((?:\+ ?)?(?:\(\d{1,5}\)|\d+)(?:[ .-]?(?:\(\d{1,4}\)|\d+)|\+(?=\d{4}\b)\d+)*)"
     numbers = F.transform(F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(number), F.lit(1))), lambda x: F.length(x) >= LEAST_DIGITS), lambda x: F.struct(F.lit("n").alias("type"), x.alias("value")))
     return F.concat(words, numbers)
