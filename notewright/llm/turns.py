@@ -117,11 +117,12 @@ def speaker_turns(transcripts: DataFrame, key: str = "id", text: str = "transcri
     # labels inside a line begin a new piece of it
     pieces = F.split(F.regexp_replace("s", rf"(^\s*{_head(_LABEL)})|\s+({_head(_INNER)})", "\u0001$1$2"), "\u0001")
     lines = lines.select("key", "mark", "codes", "named", "line", F.posexplode(pieces).alias("piece", "s")).filter(F.col("s").rlike(r"\S"))
-    part = lambda pattern, n: F.nullif(F.regexp_extract("s", pattern, n), F.lit(""))
-    arrow = part(_ARROW, 1)
-    lines = lines.withColumn("arrow", arrow).withColumn("label", part(_UTTERANCE, 2))
-    clock = F.coalesce(part(_UTTERANCE, 1), part(_UTTERANCE, 3))
-    lines = lines.withColumn("clock", clock).withColumn("said", F.when(F.col("label").isNotNull(), F.regexp_extract("s", _UTTERANCE, 4)).otherwise(F.col("s")))
+    # the parts of a labelled line in one pass of its pattern: time, label, time, text
+    parts = F.split(F.regexp_replace("s", _UTTERANCE, "\u0001$1\u0001$2\u0001$3\u0001$4"), "\u0001", 5)
+    lines = lines.withColumn("parts", parts).withColumn("arrow", F.nullif(F.regexp_extract("s", _ARROW, 1), F.lit("")))
+    labelled, part = F.size("parts") == 5, lambda n: F.nullif(F.get("parts", F.lit(n)), F.lit(""))
+    lines = lines.withColumn("label", F.when(labelled, part(2))).withColumn("clock", F.when(labelled, F.coalesce(part(1), part(3))))
+    lines = lines.withColumn("said", F.when(F.col("label").isNotNull(), F.get("parts", F.lit(4))).otherwise(F.col("s"))).drop("parts")
     so_far = Window.partitionBy("key", "mark").orderBy("line", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # state: captions begun, utterances begun
     lines = lines.withColumn("cue", F.count("arrow").over(so_far)).withColumn("cue_clock", F.last("arrow", ignorenulls=True).over(so_far))
