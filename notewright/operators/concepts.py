@@ -17,6 +17,10 @@ def _empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.array().cast("array<string>"))
 
 
+def _as_field(name: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(name).alias("field"), v.alias("value"))
+
+
 def last_by_title(notes: DataFrame, *columns: str) -> DataFrame:
     """Of notes with one title the last by file name; only ``columns`` are read, all if none is named."""
     wanted = [c for c in (columns or notes.columns) if c != "title"] or ["file_name"]
@@ -36,15 +40,17 @@ def merge_titles(notes: DataFrame) -> DataFrame:
     day = F.nullif(F.col("observed_on"), F.lit(""))
     base = rows.groupBy("title").agg(F.max("size").alias("size"))
     first = rows.join(base, ["title", "size"]).groupBy("title").agg(F.min_by("content", "file_name").alias("content"), F.min_by(F.struct(day.alias("d")), "file_name")["d"].alias("own_day"))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(_empty(c)))))
+    # values are made distinct before they are gathered
+    named = F.concat(*[F.transform(_empty(c), _as_field(c)) for c in ("tags", "applies_norm")])
+    values = rows.select("title", F.explode(named).alias("x")).select("title", "x.*").distinct()
+    lists = values.groupBy("title").agg(*[F.array_sort(F.collect_list(F.when(F.col("field") == c, F.col("value")))).alias(c) for c in ("tags", "applies_norm")])
+    none = F.array().cast("array<string>")
     rest = rows.groupBy("title").agg(
-        union("tags").alias("tags"),
-        union("applies_norm").alias("applies_norm"),
         F.transform(F.array_sort(F.collect_list(F.struct("file_name", "source_transcript"))), lambda x: x["source_transcript"]).alias("sources"),
         F.min_by(day, F.when(day.isNotNull(), F.col("file_name"))).alias("first_day"),
         F.count("*").alias("members"),
     )
-    return first.join(rest, "title").select("title", "content", "tags", "applies_norm", "sources", F.coalesce("own_day", "first_day").alias("observed_on"), "members")
+    return first.join(rest, "title").join(lists, "title", "left").select("title", "content", F.coalesce("tags", none).alias("tags"), F.coalesce("applies_norm", none).alias("applies_norm"), "sources", F.coalesce("own_day", "first_day").alias("observed_on"), "members")
 
 
 def clean_evidence(evidence: DataFrame) -> DataFrame:
@@ -83,7 +89,7 @@ def absorb(base: DataFrame, other: DataFrame, on: str = "id") -> DataFrame:
     longer = F.when(F.coalesce(F.length("o_content"), F.lit(0)) > F.coalesce(F.length("content"), F.lit(0)), F.col("o_content")).otherwise(F.col("content"))
     return both.select(
         on, "title", longer.alias("content"), union("tags").alias("tags"), F.array_except(added, F.array("title")).alias("aliases"),
-        union("links").alias("links"), union("applies_norm").alias("applies_norm"),
+        F.array_union(_empty("links"), F.array_except(_empty("o_links"), F.array("title"))).alias("links"), union("applies_norm").alias("applies_norm"),
     )
 
 
@@ -167,14 +173,68 @@ def greedy_absorption(pairs: DataFrame, order: DataFrame, threshold: float) -> D
     return both.join(closed.distinct(), "a", "left_anti").groupBy("b").agg(F.min_by("a", "pa").alias("id")).select("id", F.col("b").alias("absorbed"))
 
 
-def unique_slugs(rows: DataFrame, key: str, slug: str, order: str) -> DataFrame:
-    """(key, slug): the second of equal slugs gets -2, the third -3, in the given order."""
-    w = Window.partitionBy(slug).orderBy(order)
-    n = F.row_number().over(w)
-    return rows.select(key, F.when(n == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), n.cast("string"))).alias("slug"))
+#: Rows of a group that one range of its order holds.
+RANGE = 4096
+
+
+def running(rows: DataFrame, group: list[str], order: str, value: Column, out: str, width: int = RANGE) -> DataFrame:
+    """``rows`` with ``out``, the sum of ``value`` over the group's rows up to this one in ``order``, a whole number.
+
+    Sums of ranges of the order first, then inside each range, so a group is never one task's work.
+    """
+    rows = rows.withColumn("_range", F.floor(F.col(order) / width)).withColumn("_value", value)
+    sums = rows.groupBy(*group, "_range").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    same = F.lit(True)
+    for g in group:
+        same = same & rows[g].eqNullSafe(starts[f"_{g}"])
+    inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(starts, same & rows["_range"].eqNullSafe(starts["_r"])).withColumn(out, F.sum("_value").over(inside) + F.col("_start")).drop("_range", "_value", "_r", "_start", *[f"_{g}" for g in group])
+
+
+def _numbered(slug: str, key: str):
+    """Slugs of families in order: the first free one of slug, slug-2, slug-3, ..."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        family, taken, following = None, set(), {}
+        for df in frames:
+            made = []
+            for root, name in zip(df["_root"], df[slug]):
+                if root != family:
+                    family, taken, following = root, set(), {}
+                out = name
+                while out in taken:
+                    following[name] = following.get(name, 1) + 1
+                    out = f"{name}-{following[name]}"
+                taken.add(out)
+                made.append(out)
+            yield pd.DataFrame({key: df[key], slug: made})
+
+    return run
+
+
+def unique_slugs(rows: DataFrame, key: str, slug: str, order: str, taken: DataFrame | None = None) -> DataFrame:
+    """(key, slug): in the given order (whole numbers) each row gets its slug or, if that is taken, the first free one of slug-2, slug-3, ...
+
+    ``taken`` (slug) holds slugs in use. Equal slugs are numbered by ranges of the order; only families
+    in which a slug looks like a numbered one (``a`` and ``a-2``) are gone through one after the other.
+    """
+    root = F.regexp_replace(F.col(slug), r"(-\d+)+$", "")
+    held = rows.select(*dict.fromkeys((key, slug, order))).withColumn("_root", root).withColumn("_old", F.lit(1))
+    if taken is not None:
+        used = taken.select(F.col(slug), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in dict.fromkeys((key, order))]).distinct()
+        held = held.unionByName(used.withColumn("_root", root).withColumn("_old", F.lit(0)))
+    mixed = held.groupBy("_root").agg(F.bool_or((F.col(slug) != F.col("_root")) | (F.col("_old") == 0)).alias("_mixed"))
+    held = cut(held.join(mixed, "_root"))
+    plain = running(held.filter(~F.col("_mixed")), [slug], order, F.lit(1), "_n")
+    plain = plain.select(key, F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_n").cast("string"))).alias(slug))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    families = held.filter("_mixed").repartition(n, "_root").sortWithinPartitions("_root", "_old", F.col(order), slug)
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, {slug} string"
+    return plain.unionByName(families.select("_root", slug, key, "_old").mapInPandas(_numbered(slug, key), schema).filter(F.col(key).isNotNull()))
 
 
 def within_budget(blocks: DataFrame, group: str, order: str, size: str, budget: int, head: int = 0) -> DataFrame:
-    """The blocks of each group in order as long as head and blocks so far fit the budget."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return blocks.withColumn("used", F.sum(size).over(w) + head).filter(F.col("used") <= budget)
+    """The blocks of each group in order (whole numbers) as long as head and blocks so far fit the budget."""
+    return running(blocks, [group], order, F.col(size) + 0, "used").withColumn("used", F.col("used") + head).filter(F.col("used") <= budget)

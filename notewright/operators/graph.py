@@ -101,25 +101,25 @@ def _alike(links: DataFrame, titles: DataFrame, least: float) -> DataFrame:
     return pairs.withColumn("jaccard", F.round(shared / F.size(F.array_union("ls", "ts")), 6)).filter(F.col("jaccard") >= least).select("link", "title", "jaccard")
 
 
-def _first(df: DataFrame, score: str) -> DataFrame:
-    """The best title of each link; ties go to the first title."""
-    w = Window.partitionBy("link").orderBy(F.desc(score), F.asc("title"))
-    return df.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+def _best(df: DataFrame, score: str, larger: bool) -> DataFrame:
+    """The best title of each link; ties go to the larger or the smaller title."""
+    best = df.groupBy("link").agg(F.max(score).alias(score))
+    return df.join(best, ["link", score]).groupBy("link", score).agg((F.max if larger else F.min)("title").alias("title")).select("link", "title", score)
 
 
 def jaccard_links(links: DataFrame, titles: DataFrame, least: float = JACCARD) -> DataFrame:
     """(link, title, jaccard): the title whose terms are most like the link's."""
-    return _first(_alike(links, titles, least), "jaccard")
+    return _best(_alike(links, titles, least), "jaccard", larger=False)
 
 
 def fuzzy_links(links: DataFrame, titles: DataFrame, least: float = FUZZY) -> DataFrame:
-    """(link, title, ratio): the title whose spelling is most like the link's.
+    """(link, title, ratio): the title whose spelling is most like the link's; of equal ratios the larger title.
 
     Every link is compared with every title, block by block; the spelling ratio itself is taken only
     of pairs that bounds of it let pass.
     """
     blocks = spread(_blocks(links, "link", "links", LINKS).crossJoin(_blocks(titles, "title", "titles", TITLES)))
-    return _first(blocks.mapInPandas(_alike_spelling(least), "link string, title string, ratio double"), "ratio")
+    return _best(cut(blocks.mapInPandas(_alike_spelling(least), "link string, title string, ratio double")), "ratio", larger=True)
 
 
 def resolve_links(links: DataFrame, titles: DataFrame) -> DataFrame:
@@ -178,8 +178,15 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("nodes"))
 
 
+def edges_by_kind(edges: DataFrame) -> DataFrame:
+    """(kind, edges) of a weighted graph kept in both directions."""
+    return edges.filter("src < dst").groupBy("kind").agg(F.count("*").alias("edges"))
+
+
 def activation(edges: DataFrame, seeds: DataFrame, decay: float = DECAY, least: float = LEAST_FLOW, settled: int = SETTLED) -> DataFrame:
-    """(seed, node, activation, parent): spreading activation from each seed, the best ``settled`` nodes.
+    """(seed, node, activation, parent, via): spreading activation from each seed, the best ``settled`` nodes.
+
+    ``parent`` is the settled node that the largest flow came from, ``via`` the kind of that edge.
 
     A node's activation is the largest product of decayed weights on any way from the seed; flows
     under ``least`` stop. Each factor is below 1, so the number of rounds is bounded by the decay and
@@ -201,10 +208,11 @@ def activation(edges: DataFrame, seeds: DataFrame, decay: float = DECAY, least:
     w = Window.partitionBy("seed").orderBy(F.desc("activation"), "node")
     kept = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= settled)
     from_ = kept.select("seed", F.col("node").alias("parent"), "activation").join(edges, F.col("parent") == F.col("src"))
-    came = from_.select("seed", F.col("dst").alias("node"), "parent", flow.alias("flow"))
-    parent = came.groupBy("seed", "node").agg(F.max(F.struct("flow", "parent")).alias("p"))
+    came = from_.select("seed", F.col("dst").alias("node"), "parent", "kind", flow.alias("flow"))
+    parent = came.groupBy("seed", "node").agg(F.max(F.struct("flow", "parent", "kind")).alias("p"))
     out = kept.join(parent, ["seed", "node"], "left")
-    return out.select("seed", "node", "activation", F.when(F.col("node") != F.col("seed"), F.col("p.parent")).alias("parent"))
+    other = F.col("node") != F.col("seed")
+    return out.select("seed", "node", "activation", F.when(other, F.col("p.parent")).alias("parent"), F.when(other, F.col("p.kind")).alias("via"))
 
 
 def rare_token_links(docs: DataFrame, key: str, bag: str, share: float = 0.02, least_df: int = 5, most: int = 400, shared: int = 2, jaccard: float = 0.12, top: int = 6) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from notewright.functions.text import volatility_days
 
-#: Above this many names the audit joins without a broadcast.
+#: Most names that one pattern holds and a broadcast carries.
 MOST_NAMES = 20_000
 
 
@@ -62,25 +62,38 @@ def _bounded_name(name: Column) -> Column:
     return F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9_])"), F.regexp_replace(name, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"), F.lit(r"($|[^A-Za-z0-9_])"))
 
 
+def _any_of(names: list[str]) -> str:
+    """One pattern that finds whether a text has any of the names as a word; names of one beginning share it."""
+    quoted = lambda n: "".join("\\" + c if c in r"\.[]{}()*+?^$|-" else c for c in n)
+    heads: dict[str, list[str]] = {}
+    for n in sorted(names):
+        heads.setdefault(n[:2], []).append(n[2:])
+    inner = "|".join(f"{quoted(h)}(?:{'|'.join(quoted(t) for t in tails)})" for h, tails in heads.items())
+    return rf"(?i)(?<![A-Za-z0-9_])(?:{inner})(?![A-Za-z0-9_])"
+
+
 def audit(texts: DataFrame, key: str, text: str, norms: DataFrame, retired_only: bool = True) -> DataFrame:
     """(key, found, norm_id, superseded_by, migration, authority): names, as a rule the retired ones, that stand in a text as words.
 
-    The retired names are a dimension; their number is checked before they are broadcast. A text is
-    compared with single names only if one pattern of their first letters and digits finds any.
+    One pattern of all names reads each text once; only texts in which it finds any are asked which
+    names they contain, and these are joined by name. The names are a dimension of at most
+    ``MOST_NAMES``; a larger one is joined by words that a text and a name share.
     """
     known = norm_names(norms)
     retired = (known.filter("is_retired") if retired_only else known).join(migrations(norms).drop("norm_id"), "name", "left")
-    retired = retired.withColumn("pattern", _bounded_name(F.col("name")))
     rows = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = retired.count()
-    if n == 0:
+    names = [r["name"] for r in retired.select("name").limit(MOST_NAMES + 1).collect()]
+    if not names:
         return rows.limit(0).select(F.col("key").alias(key), *[F.lit(None).cast("string").alias(c) for c in ("found", "norm_id", "superseded_by", "migration", "authority")])
-    if n <= MOST_NAMES:
-        words = [r[0] for r in retired.select(F.regexp_extract("name", r"^([a-z0-9]*)", 1)).distinct().collect()]
-        if all(words):
-            rows = rows.filter(F.col("text").rlike("(?i)(" + "|".join(sorted(words)) + ")"))
-        retired = F.broadcast(retired)
-    hits = rows.join(retired, F.expr("text rlike pattern"))
+    if len(names) <= MOST_NAMES:
+        some = rows.filter(F.col("text").rlike(_any_of(names))).withColumn("low", F.lower("text"))
+        held = some.select("key", "text", F.explode(F.filter(F.array(*[F.lit(n) for n in sorted(names)]), lambda n: F.col("low").contains(n))).alias("name"))
+        hits = held.join(F.broadcast(retired), "name")
+    else:
+        word = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
+        first = retired.withColumn("word", F.get(word(F.col("name")), F.lit(0)))
+        hits = rows.select("key", "text", F.explode(word(F.col("text"))).alias("word")).join(first, "word").unionByName(rows.join(first.filter("word IS NULL"), F.lit(True)), allowMissingColumns=True)
+    hits = hits.filter(F.regexp_like("text", _bounded_name(F.col("name"))))
     return hits.select(F.col("key").alias(key), F.col("name").alias("found"), "norm_id", "superseded_by", "migration", "authority")
 
 

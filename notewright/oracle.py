@@ -30,10 +30,10 @@ _EDGES = (
 )
 
 
-def _bm25(name: str, docs: str) -> str:
+def _bm25(name: str, docs: str, asked: str = "concepts") -> str:
     """CTEs that end in ``name`` (query, doc, score); ``docs`` has title and bag."""
     return f"""
-{name}_q AS (SELECT id AS query, term, count(*) AS times FROM (SELECT id, unnest({_tokens('title')}) AS term FROM concepts) GROUP BY 1, 2),
+{name}_q AS (SELECT id AS query, term, count(*) AS times FROM (SELECT id, unnest({_tokens('title')}) AS term FROM {asked}) GROUP BY 1, 2),
 {name}_n AS (SELECT count(*) AS n, avg(len(bag)) AS avg_len FROM {docs}),
 {name}_p AS (SELECT title, l, term, count(*) AS f FROM (SELECT title, len(bag) AS l, unnest(bag) AS term FROM {docs}) GROUP BY 1, 2, 3),
 {name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1),
@@ -41,8 +41,9 @@ def _bm25(name: str, docs: str) -> str:
   FROM {name}_q q JOIN {name}_p p USING (term) JOIN {name}_d USING (term) CROSS JOIN {name}_n GROUP BY 1, 2)"""
 
 
-def _top(source: str, k: int) -> str:
-    return f"SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM {source} QUALIFY rank <= {k}"
+def _top(source: str, k: int | None = None) -> str:
+    """The k best of each query, or all, with their rank."""
+    return f"SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM {source}" + (f" QUALIFY rank <= {k}" if k else "")
 
 
 _SCORED = f"{_bm25('raw', 'idx')}, scored AS (SELECT query, doc, round(score / max(score) OVER (PARTITION BY query), 6) AS score FROM raw)"
@@ -72,13 +73,14 @@ rare AS (SELECT src, dst, jaccard FROM (SELECT a AS src, b AS dst, jaccard FROM
   QUALIFY row_number() OVER (PARTITION BY src ORDER BY jaccard DESC, dst) <= 6)"""
 
 
-_CONCEPT_GRAPH = f"""
-c_idx AS (SELECT title, {_bag()} AS bag FROM concepts WHERE title IS NOT NULL),
-c_low AS (SELECT lower(title) AS low, max(title) AS title FROM concepts GROUP BY 1),
-authored AS (SELECT c.title AS src, t.title AS dst FROM (SELECT title, unnest(links) AS link FROM concepts) c JOIN c_low t ON lower(c.link) = t.low),
-{_rare('c_idx', 0.05)},
-halves AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, 1.0 AS weight, 'authored' AS kind, 1 AS f FROM authored
-  UNION ALL SELECT least(src, dst), greatest(src, dst), least(jaccard, 0.85), 'inferred', 0 FROM rare),
+_VECTORS = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_SIMS = f"{_VECTORS}, sims AS (SELECT q.vec_id AS query, r.vec_id AS doc, round(list_inner_product(q.e, r.e), 6) AS score FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)"
+_NOTE_GRAPH = f"""
+{_LAST}, {_EDGES}, {_SIMS},
+knn AS (SELECT query, doc, score FROM sims WHERE score >= 0.30 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc DESC) <= 6),
+near AS (SELECT a.title AS src, b.title AS dst, score FROM knn JOIN notes a ON a.note_id = query JOIN notes b ON b.note_id = doc WHERE a.title IS NOT NULL AND b.title IS NOT NULL),
+halves AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, 1.0 AS weight, 'authored' AS kind, 1 AS f FROM one
+  UNION ALL SELECT least(src, dst), greatest(src, dst), least(score, 0.85), 'inferred', 0 FROM near),
 best AS (SELECT lo, hi, weight, kind FROM halves WHERE lo <> hi QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY f DESC, weight DESC) = 1),
 g AS (SELECT lo AS src, hi AS dst, CAST(weight AS DOUBLE) AS weight, kind FROM best UNION ALL SELECT hi, lo, CAST(weight AS DOUBLE), kind FROM best)"""
 
@@ -88,14 +90,14 @@ def _activation() -> str:
     while DECAY**rounds >= LEAST_FLOW:
         rounds += 1
     flow = f"round(activation * {DECAY} * weight, 9)"
-    parts = ["a0 AS (SELECT DISTINCT c.title AS seed, c.title AS node, CAST(1.0 AS DOUBLE) AS activation FROM (SELECT DISTINCT concept_id FROM evidence) e JOIN concepts c ON c.id = e.concept_id WHERE c.title IS NOT NULL)"]
+    parts = ["a0 AS (SELECT DISTINCT title AS seed, title AS node, CAST(1.0 AS DOUBLE) AS activation FROM notes WHERE note_id % 20 = 0 AND title IS NOT NULL)"]
     for n in range(1, rounds + 1):
         parts.append(
             f"a{n} AS (SELECT seed, node, max(activation) AS activation FROM (SELECT * FROM a{n - 1} UNION ALL SELECT seed, dst, {flow} FROM a{n - 1} JOIN g ON node = src WHERE {flow} >= {LEAST_FLOW}) GROUP BY 1, 2)"
         )
     kept = f"kept AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY activation DESC, node) AS rank FROM a{rounds} QUALIFY rank <= {SETTLED})"
-    came = f"came AS (SELECT seed, dst AS node, src AS parent FROM kept JOIN g ON node = src QUALIFY row_number() OVER (PARTITION BY seed, dst ORDER BY {flow} DESC, src DESC) = 1)"
-    return f"WITH {_CONCEPT_GRAPH}, {', '.join(parts)}, {kept}, {came} SELECT k.seed, k.node, k.activation, CASE WHEN k.node <> k.seed THEN c.parent END AS parent FROM kept k LEFT JOIN came c ON c.seed = k.seed AND c.node = k.node"
+    came = f"came AS (SELECT seed, dst AS node, src AS parent, kind FROM kept JOIN g ON node = src QUALIFY row_number() OVER (PARTITION BY seed, dst ORDER BY {flow} DESC, src DESC) = 1)"
+    return f"WITH {_NOTE_GRAPH}, {', '.join(parts)}, {kept}, {came} SELECT k.seed, k.node, k.activation, CASE WHEN k.node <> k.seed THEN c.parent END AS parent, CASE WHEN k.node <> k.seed THEN c.kind END AS via FROM kept k LEFT JOIN came c ON c.seed = k.seed AND c.node = k.node"
 
 
 def _spans(x: str) -> str:
@@ -109,8 +111,6 @@ _UNESCAPE = r"CASE WHEN {x} = '\N' THEN '' ELSE replace(replace(replace(replace(
 _MISSING = "list_filter(['age', 'duration', 'meds', 'workup', 'goal'], lambda k: NOT list_contains(list_filter([CASE WHEN kind <> '' THEN 'age' END, CASE WHEN observed_on <> '' THEN 'duration' END, CASE WHEN source <> '' THEN 'meds' END, CASE WHEN extracted_by <> '' THEN 'workup' END, CASE WHEN title <> '' THEN 'goal' END], lambda v: v IS NOT NULL), k))"
 _KNOWN = "known AS (SELECT transcription_id AS id, list_sort(list(DISTINCT {'kind': lower(trim(pii_type)), 'value': trim(pattern)})) AS known FROM pii_patterns WHERE transcription_id IS NOT NULL AND length(trim(pattern)) >= 3 GROUP BY 1)"
 _DISTINCT_T = "t AS (SELECT DISTINCT id, created_at, transcription, clinical_note FROM transcriptions)"
-_VECTORS = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
-_SIMS = f"{_VECTORS}, sims AS (SELECT q.vec_id AS query, r.vec_id AS doc, round(list_inner_product(q.e, r.e), 6) AS score FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)"
 _JOIN = "array_to_string({}, '|')"
 _DAYS = r"CASE WHEN regexp_matches(coalesce(volatility, ''), '(?i)^\s*\d+\s*(mo|m|d|y)\s*$') THEN CAST(regexp_extract(volatility, '(\d+)', 1) AS INTEGER) * CASE lower(regexp_extract(volatility, '\d+\s*([A-Za-z]+)', 1)) WHEN 'mo' THEN 30 WHEN 'm' THEN 30 WHEN 'y' THEN 365 ELSE 1 END ELSE 365 END"
 
@@ -123,7 +123,10 @@ SQL: dict[str, str] = {
     "tokenize_df": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1",
     "bm25_topk": f"WITH {_LAST}, {_INDEX}, {_bm25('raw', 'idx')} {_top('raw', 5)}",
     "rrf_fuse": f"WITH {_LAST}, {_INDEX}, t_idx AS (SELECT title, {_tokens('title')} AS bag FROM last_notes), {_bm25('whole', 'idx')}, {_bm25('short', 't_idx')}, "
-    f"fused AS (SELECT query, doc, round(sum(1.0 / ({FUSION_K} + rank)), 6) AS score FROM (SELECT * FROM ({_top('whole', 50)}) UNION ALL SELECT * FROM ({_top('short', 50)})) GROUP BY 1, 2) {_top('fused', 10)}",
+    f"fused AS (SELECT query, doc, round(sum(1.0 / ({FUSION_K} + rank)), 6) AS score FROM (SELECT * FROM ({_top('whole')}) UNION ALL SELECT * FROM ({_top('short')})) GROUP BY 1, 2) {_top('fused', 10)}",
+    "hybrid_search": f"WITH {_SIMS}, h_idx AS (SELECT doc_id AS title, {_tokens('text')} AS bag FROM documents), h_asked AS (SELECT doc_id AS id, text AS title FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)), "
+    f"{_bm25('raw', 'h_idx', 'h_asked')}, others AS (SELECT query, doc, score FROM raw WHERE query <> doc), near AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc DESC) AS INTEGER) AS rank FROM sims), "
+    f"fused AS (SELECT query, doc, round(sum(1.0 / ({FUSION_K} + rank)), 6) AS score FROM (SELECT query, doc, rank FROM ({_top('others')}) UNION ALL SELECT query, doc, rank FROM near) GROUP BY 1, 2) {_top('fused', 10)}",
     "search_expand": f"WITH {_LAST}, {_INDEX}, {_SCORED}, {_EDGES}, seeds AS ({_top('scored', 12)}), "
     f"both_ AS (SELECT query, doc, max(score) AS score FROM (SELECT query, doc, score FROM scored UNION ALL SELECT query, dst, round(score * 0.45, 6) FROM seeds JOIN edges ON doc = src) GROUP BY 1, 2) {_top('both_', 12)}",
     "dense_topk": f"WITH {_SIMS} SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc DESC) AS INTEGER) AS rank FROM sims QUALIFY rank <= 5",
@@ -139,10 +142,11 @@ SQL: dict[str, str] = {
     "h2 AS (SELECT DISTINCT h1.seed, e.dst AS node FROM h1 JOIN edges e ON e.src = h1.node WHERE e.dst <> h1.seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.node = e.dst)) "
     "SELECT seed, node, 1 AS hops FROM h1 UNION ALL SELECT seed, node, 2 FROM h2",
     "rare_token_links": f"WITH {_LAST}, {_INDEX}, {_rare('idx', 0.12)} SELECT src, dst, jaccard FROM rare",
-    "weighted_graph": f"WITH {_CONCEPT_GRAPH} SELECT src, dst, weight, kind FROM g",
+    "weighted_graph": f"WITH {_NOTE_GRAPH} SELECT src, dst, weight, kind FROM g",
+    "graph_kinds": f"WITH {_NOTE_GRAPH} SELECT kind, count(*) AS edges FROM g WHERE src < dst GROUP BY 1",
     "activation": _activation(),
     "link_exact": f"WITH {_LAST}, {_EXACT} SELECT DISTINCT l.link, t.title FROM (SELECT unnest(links) AS link FROM last_notes) l JOIN low_titles t ON lower(l.link) = t.low",
-    "link_jaccard": f"WITH {_LAST}, {_EXACT}, l AS (SELECT DISTINCT title AS link FROM concepts WHERE title IS NOT NULL AND lower(title) NOT IN (SELECT low FROM low_titles)), "
+    "link_jaccard": f"WITH {_LAST}, {_EXACT}, l AS (SELECT DISTINCT link FROM (SELECT title AS link FROM concepts UNION ALL SELECT unnest(links) FROM notes) WHERE link IS NOT NULL AND lower(link) NOT IN (SELECT low FROM low_titles)), "
     f"ls AS (SELECT link, list_distinct({_tokens('link')}) AS s FROM l), ts AS (SELECT title, list_distinct({_tokens('title')}) AS s FROM last_notes), "
     "j AS (SELECT link, title, round(len(list_intersect(ls.s, ts.s)) / len(list_distinct(list_concat(ls.s, ts.s))), 6) AS jaccard FROM ls CROSS JOIN ts WHERE len(ls.s) > 0 AND len(ts.s) > 0) "
     "SELECT link, title, jaccard FROM j WHERE jaccard >= 0.34 QUALIFY row_number() OVER (PARTITION BY link ORDER BY jaccard DESC, title) = 1",
@@ -153,7 +157,8 @@ base AS (SELECT title, content, nullif(observed_on, '') AS own_day FROM m QUALIF
 rest AS (SELECT title, array_to_string(list_sort(list_distinct(flatten(list(coalesce(tags, CAST([] AS VARCHAR[])))))), '|') AS tags, array_to_string(list_sort(list_distinct(flatten(list(coalesce(applies_norm, CAST([] AS VARCHAR[])))))), '|') AS applies_norm,
   coalesce(array_to_string(list(source_transcript ORDER BY file_name), '|'), '') AS sources, arg_min(nullif(observed_on, ''), file_name) FILTER (nullif(observed_on, '') IS NOT NULL) AS first_day, count(*) AS members FROM m GROUP BY 1)
 SELECT title, content, tags, applies_norm, sources, coalesce(own_day, first_day) AS observed_on, members FROM base JOIN rest USING (title)""",
-    "value_spans": f"SELECT span, count(*) AS notes FROM (SELECT unnest({_spans('clinical_note')}) AS span FROM (SELECT DISTINCT id, clinical_note FROM transcriptions)) GROUP BY 1",
+    "value_spans": f"SELECT span, count(*) FILTER (f = 't') AS transcripts, count(*) FILTER (f = 'n') AS notes FROM (SELECT unnest({_spans('transcription')}) AS span, 't' AS f FROM (SELECT DISTINCT id, transcription FROM transcriptions) "
+    f"UNION ALL SELECT unnest({_spans('clinical_note')}), 'n' FROM (SELECT DISTINCT id, clinical_note FROM transcriptions)) GROUP BY 1",
     "note_validate": f"""SELECT note_id, array_to_string(list_filter([
   CASE WHEN coalesce(trim(title), '') = '' THEN 'empty title' END,
   CASE WHEN kind IS NULL OR kind NOT IN ('pattern', 'norm', 'vocabulary', 'protocol') THEN 'unknown kind' END,

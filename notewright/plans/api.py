@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from notewright.functions.text import preview
@@ -91,8 +93,15 @@ class Knowledge:
         return C.compounding(C.strength(C.clean_evidence(self.evidence)), self.concepts)
 
     def source_discover(self, folder: str) -> list[dict]:
-        return [f | {"tables": dumps.sqlite_tables(f["path"]) if f["kind"] == "sqlite" else []} for f in dumps.discover(folder)]
-
-    def source_read(self, path: str, table_name: str, limit: int = 5, offset: int = 0) -> DataFrame:
-        rows = dumps.read_sqlite(self.spark, path, table_name)
-        return dumps.page(dumps.usable(rows), "id", limit, offset)
+        return dumps.sources(self.spark, folder)
+
+    def source_read(self, folder: str, file: str = "", limit: int = 5, offset: int = 0) -> DataFrame:
+        """A page of encounters of the first source, or of the one whose file name or path is ``file``; none: an error."""
+        found = [s for s in dumps.sources(self.spark, folder) if not file or file in (s["path"], os.path.basename(s["path"]))]
+        if not found:
+            raise ValueError(f"no usable source in {folder}")
+        return dumps.page(dumps.usable(dumps.read_source(self.spark, found[0])), "id", limit, offset)
+
+    def titles_with(self, text: str) -> DataFrame:
+        """Titles that contain a text, without regard to letter case."""
+        return C.last_by_title(self.notes, "file_name").select("title").filter(F.lower("title").contains(text.lower()))

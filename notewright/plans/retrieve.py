@@ -72,13 +72,13 @@ def expand_in_order(scored: DataFrame, edges: DataFrame, k: int, hops: int = 1,
 def search(notes: DataFrame, queries: DataFrame, query_key: str, query_text: str, k: int = 12, dense: DataFrame | None = None, edges: DataFrame | None = None, in_order: bool = True) -> DataFrame:
     """(query, doc, score, rank): the best k notes of each query.
 
-    ``dense`` is an optional (query, doc, rank) ranking of an encoder; without it the lexical scores
-    stand alone. ``edges`` may be given, else the notes' resolved links are used.
+    ``dense`` is an optional (query, doc, rank) ranking of an encoder over all notes; without it the
+    lexical scores stand alone. Every scored note is ranked in both before they are fused. ``edges`` may be given, else the notes' resolved links are used.
     """
     index = cut(note_index(notes, "links"))
     scored = lexical.bm25(index, "title", "bag", queries, query_key, query_text)
     if dense is not None:
-        scored = lexical.fuse(lexical.top_k(scored, 2**31 - 1), dense)
+        scored = lexical.fuse(lexical.ranks(scored), dense)
     scored = cut(lexical.normalised(scored))
     edges = edges if edges is not None else graph.adjacency(note_links(index))
     edges = cut(edges)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from notewright.functions import text as X
-from notewright.operators import concepts as C, dense, graph, lexical, norms as N
+from notewright.operators import concepts as C, dense, graph, ingest, lexical, norms as N
 from notewright.plans import api, audit, compile as compile_plan, distill, retrieve
 from notewright.session import cut, spread, table
 from notewright.sources import markdown, rejects
@@ -32,8 +32,8 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Links between notes whose text is a title but for letter case, both directions."""
-    return graph.adjacency(retrieve.note_links(C.last_by_title(table(spark, d, "notes"), "links"), only_exact=True))
+    """Resolved links between notes, exact, by spelling or by terms, both directions."""
+    return graph.adjacency(cut(retrieve.note_links(C.last_by_title(table(spark, d, "notes"), "links"))))
 
 
 def _queries_of(vectors: DataFrame) -> DataFrame:
@@ -66,12 +66,25 @@ def _title_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     """The best 10 of both rankings fused; every scored note is ranked."""
-    every = 2**31 - 1
-    whole = lexical.top_k(lexical.bm25(_index(spark, d), "title", "bag", _asked(spark, d), "id", "title"), every)
-    fused = lexical.fuse(whole, lexical.top_k(_title_bm25(spark, d), every))
+    whole = lexical.ranks(lexical.bm25(_index(spark, d), "title", "bag", _asked(spark, d), "id", "title"))
+    fused = lexical.fuse(whole, lexical.ranks(_title_bm25(spark, d)))
     return lexical.top_k(fused, 10)
 
 
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical and dense rankings of documents fused: an embedding belongs to the document of its id.
+
+    Asked are the documents whose id is divisible by 20 and that have an embedding, by all their terms and
+    their vector, against all texts and all vectors; every scored document is ranked before the fusion.
+    """
+    vectors = table(spark, d, "embeddings")
+    texts = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    asked = texts.join(_queries_of(vectors).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    scored = lexical.bm25(texts.select("doc_id", X.tokens(F.col("text")).alias("bag")), "doc_id", "bag", asked, "doc_id", "text").filter("query <> doc")
+    near = dense.nearest(vectors, _queries_of(vectors), vectors.count())  # the whole ordering
+    return lexical.top_k(lexical.fuse(lexical.ranks(scored), near), 10)
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     return lexical.normalised(lexical.bm25(_index(spark, d), "title", "bag", _asked(spark, d), "id", "title"))
 
@@ -123,22 +136,27 @@ def rare_token_links(spark: SparkSession, d: str) -> DataFrame:
     return graph.rare_token_links(_index(spark, d).select("title", "bag"), "title", "bag")
 
 
-def _concept_graph(spark: SparkSession, d: str) -> DataFrame:
-    concepts = table(spark, d, "concepts")
-    links = concepts.select(F.col("title").alias("src"), F.explode("links").alias("link"))
-    authored = links.join(graph.exact_links(links, concepts), "link").select("src", F.col("title").alias("dst"))
-    bags = concepts.filter("title IS NOT NULL").select("title", X.weighted_bag(F.col("title"), F.col("tags"), F.col("content")).alias("bag"))
-    inferred = graph.rare_token_links(bags, "title", "bag", jaccard=0.05).select("src", "dst", F.col("jaccard").alias("similarity"))
+def _note_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Notes tied by their resolved links and by the nearest vectors of the stated queries; a vector belongs to the note of its id."""
+    notes = table(spark, d, "notes")
+    authored = retrieve.note_links(C.last_by_title(notes, "links"))
+    titles = notes.filter("title IS NOT NULL").select("note_id", "title")
+    near = knn_edges(spark, d).withColumnsRenamed({"src": "a", "dst": "b"})
+    inferred = near.join(titles.toDF("a", "src"), "a").join(titles.toDF("b", "dst"), "b").select("src", "dst", "similarity")
     return graph.weighted_graph(authored, inferred)
 
 
 def weighted_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _concept_graph(spark, d)
+    return _note_graph(spark, d)
+
+
+def graph_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges_by_kind(_note_graph(spark, d))
 
 
 def activation(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "evidence").select("concept_id").distinct().join(table(spark, d, "concepts"), F.col("concept_id") == F.col("id")).select(F.col("title").alias("node"))
-    return graph.activation(cut(_concept_graph(spark, d)), seeds.filter("node IS NOT NULL"))
+    seeds = table(spark, d, "notes").filter("note_id % 20 = 0 AND title IS NOT NULL").select(F.col("title").alias("node")).distinct()
+    return graph.activation(cut(_note_graph(spark, d)), seeds)
 
 
 def _note_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -151,9 +169,9 @@ def link_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _concept_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Titles of concepts as links, to be resolved to titles of notes."""
-    links = table(spark, d, "concepts").select(F.col("title").alias("link")).filter("link IS NOT NULL").distinct()
-    return links, C.last_by_title(table(spark, d, "notes"), "file_name").select("title")
+    """Links of notes, and titles of concepts as links, to be resolved to titles of notes."""
+    links = table(spark, d, "concepts").select(F.col("title").alias("link")).unionByName(table(spark, d, "notes").select(F.explode("links").alias("link")))
+    return links.filter("link IS NOT NULL").distinct(), C.last_by_title(table(spark, d, "notes"), "file_name").select("title")
 
 
 def link_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -166,10 +184,12 @@ def link_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retriever_stats(spark: SparkSession, d: str) -> DataFrame:
-    """One row: notes, edges, resolved and dangling link occurrences, share resolved; exact links."""
+    """One row: notes, edges, resolved and dangling link occurrences, share resolved; links of all three tiers."""
     links, titles = _note_links(spark, d)
-    edges = graph.adjacency(retrieve.note_links(C.last_by_title(table(spark, d, "notes"), "links"), only_exact=True)).agg(F.floor(F.count("*") / 2).cast("long").alias("edges"))
-    found = links.join(graph.exact_links(links, titles), "link", "left").agg(F.count("title").alias("resolved"), F.count_if(F.col("title").isNull()).alias("dangling"))
+    resolved = cut(graph.resolve_links(links, titles))
+    ends = links.join(resolved, "link").select("src", F.col("title").alias("dst")).filter("src <> dst").distinct()
+    edges = graph.adjacency(ends).agg(F.floor(F.count("*") / 2).cast("long").alias("edges"))
+    found = links.join(resolved, "link", "left").agg(F.count("title").alias("resolved"), F.count_if(F.col("title").isNull()).alias("dangling"))
     out = titles.agg(F.count("*").alias("notes")).crossJoin(edges).crossJoin(found)  # one row each
     return out.withColumn("rate", F.round(F.col("resolved") / F.greatest(F.col("resolved") + F.col("dangling"), F.lit(1)), 3))
 
@@ -180,9 +200,11 @@ def exact_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def value_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "transcriptions").select("id", "clinical_note").distinct()
-    spans = rows.select("id", F.explode(X.value_spans(F.col("clinical_note"))).alias("span"))
-    return spans.groupBy("span").agg(F.count("*").alias("notes"))
+    """Values in encounters' texts, and in how many transcripts and notes each stands."""
+    rows = table(spark, d, "transcriptions").select("id", "transcription", "clinical_note").distinct()
+    texts = [rows.select("id", F.col(c).alias("text")).distinct().select("id", F.explode(X.value_spans(F.col("text"))).alias("span"), F.lit(c).alias("field")) for c in ("transcription", "clinical_note")]
+    in_field = lambda c: F.count_if(F.col("field") == c)
+    return texts[0].unionByName(texts[1]).groupBy("span").agg(in_field("transcription").alias("transcripts"), in_field("clinical_note").alias("notes"))
 
 
 def note_validate(spark: SparkSession, d: str) -> DataFrame:
@@ -286,12 +308,44 @@ def absorb_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consolidate_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Concepts that would take in one another, the stronger first; likeness is that of their rare terms."""
-    bags = table(spark, d, "concepts").select("id", X.weighted_bag(F.col("title"), F.col("tags"), F.col("content")).alias("bag"))
-    pairs = graph.rare_token_links(bags, "id", "bag", jaccard=0.05).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("jaccard").alias("score"))
-    s = C.strength(C.clean_evidence(table(spark, d, "evidence")))
-    order = bags.select("id").join(s, F.col("id") == F.col("concept_id"), "left").select("id", F.struct((-F.coalesce("strength", F.lit(0))).alias("s"), F.col("id").alias("i")).alias("place"))
-    return C.greedy_absorption(pairs, order, 0.08)
+    """Notes that would take in one another, those of most members first; likeness is that of their rare terms."""
+    index = cut(_index(spark, d).select("title", "bag"))
+    pairs = graph.rare_token_links(index, "title", "bag").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("jaccard").alias("score"))
+    members = table(spark, d, "notes").filter("title IS NOT NULL").groupBy("title").agg(F.count("*").alias("members"))
+    order = members.select(F.col("title").alias("id"), F.struct((-F.col("members")).alias("m"), F.col("title").alias("t")).alias("place"))
+    return C.greedy_absorption(pairs, order, 0.3)
+
+
+def _batch(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A batch of notes ingested into the others: the stated queries of the vectors into the rest; a vector belongs to the note of its id."""
+    vectors, notes = table(spark, d, "embeddings"), table(spark, d, "notes").filter("title IS NOT NULL")
+    incoming = _queries_of(vectors)
+    titled = notes.select("note_id", "title", "content", "tags", "links", "applies_norm", "source_transcript", "observed_on")
+    stored = titled.join(vectors.filter("vec_id % 20 <> 0").select(F.col("vec_id").alias("note_id")), "note_id", "left_semi")
+    concepts = stored.select(F.col("note_id").cast("string").alias("id"), "title", "content", "tags", F.array().cast("array<string>").alias("aliases"), "links", "applies_norm")
+    items = titled.join(incoming.select(F.col("vec_id").alias("note_id")), "note_id", "left_semi").select(
+        F.col("note_id").alias("item"), F.col("note_id").alias("place"), "title", "content", F.col("source_transcript").alias("source"), "observed_on", F.lit(None).cast("string").alias("detail"), "tags"
+    )
+    near = dense.nearest(vectors.filter("vec_id % 20 <> 0").join(stored.select(F.col("note_id").alias("vec_id")), "vec_id", "left_semi"), incoming, ingest.NEAR)
+    batch = dense.nearest(incoming, incoming, incoming.count(), least=LINK_AT)
+    in_batch = lambda df: df.join(items.select(F.col("item").alias("query")), "query", "left_semi")
+    return ingest.ingest(
+        concepts, items, in_batch(near).select(F.col("query").alias("item"), F.col("doc").cast("string").alias("target"), "score"),
+        in_batch(batch).select(F.col("query").alias("item"), F.col("doc").alias("other"), "score"), "none", MERGE_AT, LINK_AT,
+    )
+
+
+def ingest_actions(spark: SparkSession, d: str) -> DataFrame:
+    """What became of each note of the batch, in the order of their ids; later ones see what earlier ones created."""
+    return _batch(spark, d)["decisions"].select("item", "action", "score")
+
+
+def ingest_effects(spark: SparkSession, d: str) -> DataFrame:
+    """The concepts that the batch changed or made, and their new rows of evidence."""
+    out = _batch(spark, d)
+    told = out["evidence"].groupBy("id").agg(F.count("*").alias("observations"))
+    changed = out["concepts"].select("id", "title", *[_joined(c).alias(c) for c in ("tags", "aliases", "links")])
+    return changed.join(told, "id", "left").select("id", "title", "tags", "aliases", "links", F.coalesce("observations", F.lit(0)).alias("observations"))
 
 
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
@@ -394,10 +448,10 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    p4_found, p4_rows, tokenize_df, bm25_topk, rrf_fuse, search_expand, search_in_order, dense_topk, knn_edges, ingest_bands, graph_stats, hubs, link_histogram,
-    neighbours_d2, rare_token_links, weighted_graph, activation, link_exact, link_jaccard, link_resolution, retriever_stats, exact_merge, value_spans, note_validate,
+    p4_found, p4_rows, tokenize_df, bm25_topk, rrf_fuse, hybrid_search, search_expand, search_in_order, dense_topk, knn_edges, ingest_bands, graph_stats, hubs, link_histogram,
+    neighbours_d2, rare_token_links, weighted_graph, graph_kinds, activation, link_exact, link_jaccard, link_resolution, retriever_stats, exact_merge, value_spans, note_validate,
     norm_names, norm_lookup, norm_stale, norm_search, norm_audit, document_audit, name_audit, vault_audit, audit_counts, context_budget, compile_blocks, thin_context, concept_strength,
-    compounding, absorb_notes, consolidate_greedy, upper_median, json_props, checkpoint_anti, prepared, prepare_stats, pii_scrub, pii_counts, source_page, copy_fields,
+    compounding, absorb_notes, consolidate_greedy, ingest_actions, ingest_effects, upper_median, json_props, checkpoint_anti, prepared, prepare_stats, pii_scrub, pii_counts, source_page, copy_fields,
     unique_slugs, tag_index, tag_prefix_hits, note_markdown, note_round_trip, evidence_lines, evidence_round_trip, content_digest,
 )
 

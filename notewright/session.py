@@ -34,14 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    setting is missing (tests, a laptop) a temporary one is made. Checkpoint files survive
-    the loss of executors, unlike cached or local-checkpointed blocks.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only in local mode
+    (tests, a laptop) a temporary one is made where that setting is missing; on a cluster it is an
+    error. Checkpoint files survive the loss of executors, unlike cached or local-checkpointed blocks.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-notewright-"))
     return df.checkpoint(eager=True)
 

@@ -38,9 +38,14 @@ def parse_notes(texts: DataFrame, file: str = "file_name", value: str = "value")
     return rows.filter("title <> ''")
 
 
+def file_name() -> Column:
+    """The name of a row's file, as it is written in the folder."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Notes of a folder of Markdown files; a file is a row, and files with one title leave the last by name."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select("value", F.col("_metadata.file_name").alias("file_name"))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select("value", file_name().alias("file_name"))
     rows = parse_notes(files)
     return rows.groupBy("title").agg(F.max_by(F.struct("file_name", "kind", "content", "tags", "links", "source"), "file_name").alias("n")).select("title", "n.*")
 

@@ -159,9 +159,9 @@ def test_fuzzy_links_equal_brute_force(spark):
     links = sorted({misspelt(w) for w in words for _ in range(6)} | {"hypertensoin", "tachykardia"})
     want = {}
     for a in links:
-        best = min((-round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 6), b) for b in titles)
-        if -best[0] >= graph.FUZZY:
-            want[a] = (best[1], -best[0])
+        best = max((round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 6), b) for b in titles)
+        if best[0] >= graph.FUZZY:
+            want[a] = (best[1], best[0])
     frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((links, "link"), (titles, "title"))]
     got = {r["link"]: (r["title"], r["ratio"]) for r in graph.fuzzy_links(*frames).collect()}
     assert got == want and want["hypertensoin"] and want["tachykardia"]
