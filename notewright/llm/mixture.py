@@ -17,15 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from notewright.llm.tokens import TOKENIZER, TOKENIZER_DIR, encode_corpus
 from notewright.session import cut
 
-#: The tree's upper level in this project's data; a source without an entry is a domain of its own.
-DOMAINS = {
-    "vault_atomic": "knowledge", "norm_digest": "knowledge", "audit_remarks": "knowledge", "teaching_rounds": "knowledge",
-    "encounter_dump": "encounters", "phone_triage": "encounters", "home_diary": "encounters",
-    "clinic_letters": "correspondence", "ward_handover": "correspondence",
-}
 SEED = 17
-#: An epoch's order is cut into so many hash ranges; only one range per leaf is sorted.
-RANGES = 4096
+#: An epoch's order is cut into hash ranges of about so many documents; only one range per leaf is sorted.
+PER_RANGE = 4096
 
 
 def clean_source(source: Column) -> Column:
@@ -84,14 +78,17 @@ def counted(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, tokenizer:
     return ids.select("meta.*", F.size("ids").cast("long").alias("n_tokens")).filter("n_tokens > 0")
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, domains: dict[str, str] | None = None) -> DataFrame:
     """(domain, lang, source, weight, max_repeats, tokens, budget) of every leaf.
 
+    ``domains`` names the domain of a source, the tree's upper level; a source without one is a domain of its own.
+
     The driver holds one row per listed source and language; nothing per document. Without
     ``total_tokens`` the mixture has as many tokens as the listed sources hold once.
     """
     wanted = targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source IS NOT NULL AND source <> ''")
     wanted = wanted.groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    domain_of = {k.lower(): v for k, v in (domains or {}).items()}
     rows = wanted.join(sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")), "source", "left").collect()
     held = defaultdict(int)
     for r in rows:
@@ -101,7 +98,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         tokens = r["tokens"] or 0
         part = tokens / held[r["source"]] if held[r["source"]] else 1.0
         leaves.append(
-            {"path": (DOMAINS.get(r["source"], r["source"]), r["lang"] or "none", r["source"]), "weight": r["target_share"] * part,
+            {"path": (domain_of.get(r["source"], r["source"]), r["lang"] or "none", r["source"]), "weight": r["target_share"] * part,
              "capacity": tokens * max(r["max_repeats"], 0), "tokens": tokens, "repeats": r["max_repeats"]}
         )
     got = budgets(leaves, sum(held.values()) if total_tokens is None else total_tokens)
@@ -110,7 +107,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return sizes.sparkSession.createDataFrame(made, schema)
 
 
-def mix(sizes: DataFrame, leaves: DataFrame, seed: int = SEED, ranges: int = RANGES) -> DataFrame:
+def mix(sizes: DataFrame, leaves: DataFrame, seed: int = SEED, per_range: int = PER_RANGE) -> DataFrame:
     """(doc_id, source, lang, epoch, used_tokens): every use of a document, in part only at a leaf's end.
 
     The prefix of the last epoch is found in two steps: token sums per hash range, then the order
@@ -122,10 +119,12 @@ def mix(sizes: DataFrame, leaves: DataFrame, seed: int = SEED, ranges: int = RAN
     docs = docs.withColumn("whole", whole).withColumn("rest", F.col("budget") - whole * F.col("leaf_tokens"))
     full = docs.filter("whole > 0").select("doc_id", "source", "lang", F.explode(F.sequence(F.lit(1), F.col("whole").cast("int"))).alias("epoch"), F.col("n_tokens").alias("used_tokens"))
     order = F.xxhash64(F.lit(seed), (F.col("whole") + 1).cast("long"), F.col("doc_id"))
-    last = docs.filter("rest > 0").withColumn("o", order).withColumn("range", F.pmod("o", F.lit(ranges)))
     leaf = ["source", "lang"]
+    counts = sizes.groupBy(*leaf).agg(F.ceil(F.count("*") / per_range).alias("ranges"))
+    last = docs.filter("rest > 0").withColumn("o", order).join(F.broadcast(counts.join(F.broadcast(known.select(*leaf)), leaf)), leaf)  # a row a leaf
+    last = last.withColumn("range", F.pmod("o", "ranges"))
     sums = last.groupBy(*leaf, "range").agg(F.sum("n_tokens").alias("r_tokens"))
-    before = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows a leaf
+    before = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for ``per_range`` documents
     sums = sums.select(*leaf, "range", F.coalesce(F.sum("r_tokens").over(before), F.lit(0)).alias("start"), "r_tokens")
     last = last.join(sums, [*leaf, "range"]).filter("start < rest")
     inner = last.filter(F.col("start") + F.col("r_tokens") <= F.col("rest")).select("doc_id", *leaf, F.col("whole"), F.col("n_tokens").alias("used_tokens"))
@@ -136,7 +135,7 @@ def mix(sizes: DataFrame, leaves: DataFrame, seed: int = SEED, ranges: int = RAN
     return full.unionByName(partial)
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, tokenizer_dir: str = TOKENIZER_DIR, domains: dict[str, str] | None = None) -> DataFrame:
     """The mixture as uses of documents; see ``mix``.
 
     Defined cases: sources are matched without regard to letter case, blanks and - or _; null and
@@ -145,13 +144,13 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     targets add up; an empty table gives an empty mixture; other columns are not read.
     """
     sizes = cut(counted(documents, tokenizer_dir))
-    return mix(sizes, plan(sizes, targets, total_tokens), seed)
+    return mix(sizes, plan(sizes, targets, total_tokens, domains), seed)
 
 
-def reached_shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+def reached_shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, tokenizer_dir: str = TOKENIZER_DIR, domains: dict[str, str] | None = None) -> DataFrame:
     """(source, target_share, reached_share, tokens, used_tokens, max_repeats, most_uses) per listed source."""
     sizes = cut(counted(documents, tokenizer_dir))
-    leaves = plan(sizes, targets, total_tokens)
+    leaves = plan(sizes, targets, total_tokens, domains)
     uses = cut(mix(sizes, leaves, seed))
     taken = uses.groupBy("source").agg(F.sum("used_tokens").alias("used_tokens"), F.max("epoch").alias("most_uses"))
     listed = leaves.groupBy("source").agg(F.round(F.sum("weight"), 9).alias("target_share"), F.sum("tokens").alias("tokens"), F.max("max_repeats").alias("max_repeats"))

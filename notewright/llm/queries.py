@@ -66,12 +66,20 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+#: The domains of this project's sources, the upper level of the mixture's tree.
+DOMAINS = {
+    "vault_atomic": "knowledge", "norm_digest": "knowledge", "audit_remarks": "knowledge", "teaching_rounds": "knowledge",
+    "encounter_dump": "encounters", "phone_triage": "encounters", "home_diary": "encounters",
+    "clinic_letters": "correspondence", "ward_handover": "correspondence",
+}
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=DOMAINS)
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=DOMAINS)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

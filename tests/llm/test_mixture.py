@@ -52,8 +52,8 @@ def test_ranges_do_not_change_the_budget(spark):
     docs, targets = frames(spark)
     sizes = M.counted(docs)
     leaves = M.plan(sizes, targets, 333)
-    for ranges in (1, 7, 4096):
-        assert M.mix(sizes, leaves, ranges=ranges).agg(F.sum("used_tokens")).first()[0] == leaves.agg(F.sum("budget")).first()[0]
+    for per_range in (1, 7, 4096):
+        assert M.mix(sizes, leaves, per_range=per_range).agg(F.sum("used_tokens")).first()[0] == leaves.agg(F.sum("budget")).first()[0]
 
 
 def test_shares_and_empty(spark, data):
