@@ -208,3 +208,33 @@ SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY sco
     "content_digest": "SELECT sha256(text) AS digest, count(*) AS documents, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1",
 }
 SQL["audit_counts"] = "WITH v AS (" + SQL["vault_audit"] + ") SELECT count(*) AS notes, count(*) FILTER (corrections = '' AND loose = '') AS clean, count(*) FILTER (corrections <> '') AS retired, count(*) FILTER (loose <> '') AS unmapped FROM v"
+_CSV_FIELD = '"(?:[^"]|"")*"|[^",]*'
+#: Raw records by regular expressions: whether the quoting holds, the fields, and with quotes and escapes taken off the two typed ones.
+_RAW = rf"""
+raw_ AS (SELECT row_id, layout, regexp_replace(raw, '\r$', '') AS raw FROM raw_transcriptions),
+cut_ AS (SELECT row_id, layout,
+  CASE WHEN layout = 'csv' THEN regexp_full_match(raw, '(?s)(?:{_CSV_FIELD})(?:,(?:{_CSV_FIELD}))*') ELSE regexp_full_match(raw, '(?s)(?:[^\\]|\\.)*') END AS holds,
+  CASE WHEN layout = 'csv' THEN regexp_extract_all(raw || ',', '(?s)({_CSV_FIELD}),', 1) ELSE regexp_extract_all(raw || chr(9), '(?s)((?:[^\\\t]|\\.)*)\t', 1) END AS f FROM raw_),
+typed_ AS (SELECT *, CASE WHEN layout = 'csv' THEN regexp_replace(f[1], '(?s)^"(.*)"$', '\1') ELSE f[1] END AS id_,
+  CASE WHEN layout = 'csv' THEN CASE WHEN f[2] <> '' THEN regexp_replace(f[2], '(?s)^"(.*)"$', '\1') END WHEN f[2] <> '\N' THEN f[2] END AS day_ FROM cut_),
+judged_ AS (SELECT *, CASE WHEN NOT holds THEN 'quoting' WHEN len(f) <> 4 THEN 'columns'
+  WHEN NOT regexp_full_match(id_, '[0-9]+') OR coalesce(TRY_CAST(id_ AS BIGINT), 0) < 1 THEN 'value'
+  WHEN day_ IS NOT NULL AND (NOT regexp_full_match(day_, '\d{{4}}-\d\d-\d\d(?:[ T](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:Z|[+-]\d\d(?::?\d\d)?)?)?') OR TRY_CAST(left(day_, 10) AS DATE) IS NULL) THEN 'value' END AS reason FROM typed_)"""
+SQL["p4_found"] = f"WITH {_RAW} SELECT row_id, reason FROM judged_ WHERE reason IS NOT NULL"
+_LINE = r"(?s)^- \[\[(.*?)\]\](?: (\d{4}-\d{2}-\d{2}))?(?: [^—]*?)?( — ⚠ CONTRADICTS)? — (.*)$"
+_PART = [f"regexp_extract(line, '{_LINE}', {n})" for n in range(1, 5)]
+SQL["evidence_round_trip"] = (
+    f"WITH l AS ({SQL['evidence_lines']}) SELECT concept_id, ord, {_PART[0]} AS source, nullif({_PART[1]}, '') AS observed_on, {_PART[2]} <> '' AS contradicts, {_PART[3]} AS detail FROM l WHERE regexp_matches(line, '{_LINE}')"
+)
+SQL["note_round_trip"] = "WITH m AS (" + SQL["note_markdown"] + r"""), p AS (SELECT file_name, trim(regexp_extract(value, '(?m)^title:[ \t]*(.+)$', 1)) AS title, coalesce(nullif(regexp_extract(value, '(?m)^kind:[ \t]*(\w+)', 1), ''), 'pattern') AS kind,
+  regexp_replace(regexp_extract(value, '(?s)Content:(.*)\nLinks:', 1), '^\s+|\s+$', '', 'g') AS content, array_to_string(regexp_extract_all(value, '\[\[(.+?)\]\]', 1), '|') AS links, nullif(trim(regexp_extract(value, '(?m)^source:[ \t]*(.*)$', 1)), '') AS source FROM m)
+SELECT file_name, title, kind, content, links, source FROM p WHERE title <> ''"""
+#: One note of the batch after the other, with the list of those that became concepts.
+SQL["ingest_actions"] = f"""WITH RECURSIVE {_VECTORS}, t AS (SELECT note_id FROM notes WHERE title IS NOT NULL),
+i AS (SELECT note_id AS item, row_number() OVER (ORDER BY note_id) AS n FROM t JOIN v ON vec_id = note_id WHERE note_id % 20 = 0),
+s AS (SELECT q.vec_id AS query, r.vec_id AS doc, round(list_inner_product(q.e, r.e), 6) AS score FROM v q JOIN v r ON q.vec_id <> r.vec_id JOIN t ON t.note_id = r.vec_id WHERE q.vec_id IN (SELECT item FROM i)),
+near AS (SELECT item, n, list(struct_pack(doc := doc, score := score)) FILTER (doc IS NOT NULL) AS seen FROM i LEFT JOIN s ON query = item AND (doc % 20 <> 0 OR score >= 0.32) GROUP BY 1, 2),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS made, CAST(NULL AS BIGINT) AS item, CAST(NULL AS DOUBLE) AS best
+  UNION ALL SELECT x.n, CASE WHEN x.best >= 0.40 THEN x.made ELSE list_append(x.made, x.item) END, x.item, x.best FROM (
+    SELECT near.n, r.made, near.item, coalesce(list_max(list_transform(list_filter(near.seen, lambda y: y.doc % 20 <> 0 OR list_contains(r.made, y.doc)), lambda y: y.score)), 0) AS best FROM r JOIN near ON near.n = r.n + 1) x)
+SELECT item, CASE WHEN best >= 0.40 THEN 'merge' WHEN best >= 0.32 THEN 'link' ELSE 'create' END AS action, CASE WHEN best >= 0.32 THEN best ELSE 0 END AS score FROM r WHERE item IS NOT NULL"""

@@ -26,11 +26,11 @@ def note_markdown(notes: DataFrame) -> DataFrame:
 def parse_notes(texts: DataFrame, file: str = "file_name", value: str = "value") -> DataFrame:
     """(file_name, title, kind, content, tags, links, source) of each text; those without a title are left out."""
     part = lambda p, n=1: F.regexp_extract(value, p, n)
-    content = F.when(F.col(value).contains("Content:"), part(r"(?s)Content:\s*(.*?)(?:\nLinks:|$)(?!.*\nLinks:)")).otherwise(F.col(value))
+    content = F.when(F.col(value).contains("Content:"), part(r"(?s)Content:(.*?)(?:\nLinks:|$)(?!.*\nLinks:)")).otherwise(F.col(value))
     rows = texts.select(
         F.col(file).alias("file_name"), F.trim(part(r"(?m)^title:[ \t]*(.+)$")).alias("title"),
         F.coalesce(F.nullif(part(r"(?m)^kind:[ \t]*(\w+)"), F.lit("")), F.lit("pattern")).alias("kind"),
-        F.trim(content).alias("content"),
+        F.regexp_replace(content, r"^\s+|\s+$", "").alias("content"),
         F.regexp_extract_all(value, F.lit(r"#([\w-]+)"), F.lit(1)).alias("tags"),
         F.regexp_extract_all(value, F.lit(r"\[\[(.+?)\]\]"), F.lit(1)).alias("links"),
         F.nullif(F.trim(part(r"(?m)^source:[ \t]*(.*)$")), F.lit("")).alias("source"),

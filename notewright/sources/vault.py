@@ -32,11 +32,11 @@ def parse_flat(texts: DataFrame, file: str = "file_name", value: str = "value")
     key = lambda k: F.trim(F.regexp_extract("head", rf"(?s)^(?:.*\n)?[ \t]*{k}[ \t]*:([^\n]*)", 1))
     given = lambda k, other: F.when(F.col("head").rlike(rf"(?m)^[ \t]*{k}[ \t]*:"), key(k)).otherwise(F.lit(other))
     items = F.filter(F.transform(F.split(F.regexp_replace(given("applies_norm", "[]"), r"^\[|\]$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
-    content = F.regexp_extract("body", r"(?s)Content:\s*(.*?)(?=\nLinks:|$(?![\s\S]))", 1)
+    content = F.regexp_extract("body", r"(?s)Content:(.*?)(?=\nLinks:|\z)", 1)
     out = rows.select(
         "file_name", given("title", "").alias("title"), given("kind", "pattern").alias("kind"), given("source", "unknown").alias("source"),
         F.regexp_extract_all(given("tags", "[]"), F.lit(r"#([^\s,\]]+)"), F.lit(1)).alias("tags"), items.alias("applies_norm"), given("observed_on", "").alias("observed_on"),
-        given("extracted_by", "").alias("extracted_by"), F.trim(F.regexp_replace(content, r"^\s+|\s+$", "")).alias("content"),
+        given("extracted_by", "").alias("extracted_by"), F.regexp_replace(content, r"^\s+|\s+$", "").alias("content"),
         F.regexp_extract_all("body", F.lit(r"(?m)^- \[\[(.+?)\]\]\s*$"), F.lit(1)).alias("links"),
     )
     return out.filter("title <> ''")
