@@ -93,6 +93,23 @@ def absorb(base: DataFrame, other: DataFrame, on: str = "id") -> DataFrame:
     )
 
 
+def absorb_evidence(evidence: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """``evidence`` after concepts were taken in by others; ``absorbed`` has id and into.
+
+    Their rows move to the concept that took them in and are numbered after its own, but for those whose
+    source and detail it has already; so taking in the same rows again adds nothing.
+    """
+    gone = absorbed.select(F.col("id").alias("concept_id"), "into").distinct()
+    kept = evidence.join(gone.select("concept_id"), "concept_id", "left_anti")
+    mark = F.xxhash64(F.coalesce("source", F.lit("\u0000")), F.lit("\u0001"), F.coalesce("detail", F.lit("\u0000")))
+    moved = evidence.join(gone, "concept_id").withColumn("_from", F.col("concept_id")).withColumn("concept_id", F.col("into")).drop("into").withColumn("_mark", mark)
+    moved = moved.join(kept.select("concept_id", mark.alias("_mark")).distinct(), ["concept_id", "_mark"], "left_anti").drop("_mark")
+    last = kept.groupBy("concept_id").agg(F.max("ord").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("concept_id").orderBy("_from", "ord"))
+    moved = moved.join(last, "concept_id", "left").withColumn("ord", (F.coalesce("_last", F.lit(0)) + place).cast(evidence.schema["ord"].dataType))
+    return kept.unionByName(moved.select(*kept.columns))
+
+
 def tied_notes(ties: DataFrame, notes: DataFrame, on: str = "id", by: str = "t") -> DataFrame:
     """(on, title, content, tags, aliases, links, applies_norm): all notes that ``ties`` (on, by) bring to a concept, in one row for ``absorb``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Queries that one block of the query side holds; a block is what one task compares with its rows.
 BLOCK = 2048
@@ -19,18 +19,19 @@ def unencoded(texts: DataFrame, key: str, text: str, store: DataFrame, model: st
     return rows.join(store.filter(F.col("model") == model).select("key", "digest"), ["key", "digest"], "left_anti")
 
 
-def encode(rows: DataFrame, encoder: Callable[[list[str]], list[list[float]]], model: str, batch: int = 32) -> DataFrame:
+def encode(rows: DataFrame, encoder: Callable[[list[str]], list[list[float]]], model: str, batch: int = 32, prefix: str = "") -> DataFrame:
     """(key, v, digest, model): unit vectors of (key, text, digest) rows by an injected encoder.
 
     The encoder is called with up to ``batch`` texts inside the tasks; its vectors are always brought
-    to unit length, a zero vector stays zero.
+    to unit length, a zero vector stays zero. Encoders that tell questions from texts get the questions
+    with their instruction as ``prefix``; the key and digest stay those of the text.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             made: list[np.ndarray] = []
             for at in range(0, len(df), batch):
-                for v in encoder(df["text"].iloc[at : at + batch].tolist()):
+                for v in encoder([prefix + t for t in df["text"].iloc[at : at + batch]]):
                     x = np.asarray(v, dtype=np.float64)
                     made.append(x / (np.linalg.norm(x) or 1.0))
             yield pd.DataFrame({"key": df["key"], "v": made, "digest": df["digest"], "model": model})
@@ -39,6 +40,16 @@ def encode(rows: DataFrame, encoder: Callable[[list[str]], list[list[float]]], m
     return rows.select("key", "text", "digest").mapInPandas(run, f"key {kind}, v array<float>, digest string, model string")
 
 
+def add_to_store(encoded: DataFrame, folder: str) -> None:
+    """Adds (key, v, digest, model) rows to a stored table of vectors; ``unencoded`` asks it what is there already."""
+    encoded.write.mode("append").partitionBy("model").parquet(folder)
+
+
+def stored(spark: SparkSession, folder: str, model: str, texts: DataFrame) -> DataFrame:
+    """(key, v) of a model for the texts (key, digest) as they are now; older versions of a text are passed over."""
+    return spark.read.parquet(folder).filter(F.col("model") == model).join(texts.select("key", "digest"), ["key", "digest"], "left_semi").dropDuplicates(["key"]).select("key", "v")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision, 0 where a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

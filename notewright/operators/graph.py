@@ -132,6 +132,12 @@ def resolve_links(links: DataFrame, titles: DataFrame) -> DataFrame:
     return exact.withColumn("method", F.lit("exact")).unionByName(fuzzy.withColumn("method", F.lit("fuzzy"))).unionByName(rest.withColumn("method", F.lit("jaccard")))
 
 
+def open_adjacency(notes: DataFrame) -> DataFrame:
+    """(src, dst), both directions: notes and their links as they are written; a link that no note has as its title is a node too."""
+    links = notes.select(F.col("title").alias("src"), F.explode("links").alias("dst"))
+    return adjacency(links.filter("src IS NOT NULL AND dst IS NOT NULL"))
+
+
 def adjacency(resolved: DataFrame) -> DataFrame:
     """(src, dst), both directions, distinct, without self links; ``resolved`` has src, dst."""
     one = resolved.select("src", "dst").filter("src <> dst")
@@ -219,16 +225,17 @@ def rare_token_links(docs: DataFrame, key: str, bag: str, share: float = 0.02, l
     """(src, dst, jaccard): links of documents that share ``shared`` or more rare terms, the ``top`` best of each.
 
     A term is rare if at most max(least_df, share of all documents) and at most ``most`` documents have
-    it; these limits are part of the operator's definition and bound each term's pairs.
+    it; these limits are part of the operator's definition and bound each term's pairs. Terms are
+    compared by 64-bit hashes; sets are fetched only for pairs that share enough rare ones.
     """
-    sets = cut(docs.select(F.col(key).alias("doc"), F.array_distinct(bag).alias("set")))
+    sets = cut(docs.select(F.col(key).alias("doc"), F.array_distinct(F.transform(bag, lambda t: F.xxhash64(t))).alias("set")))
     total = sets.agg(F.greatest(F.lit(least_df), F.floor(F.count("*") * share).cast("int")).alias("limit"))
     terms = sets.select("doc", F.explode("set").alias("term"))
     frequency = terms.groupBy("term").agg(F.count("*").alias("df")).filter(f"df BETWEEN 2 AND {most}")
     rare = frequency.crossJoin(total).filter("df <= limit").select("term")  # one row of totals
     held = terms.join(rare, "term")
     pairs = held.select("term", F.col("doc").alias("a")).join(held.select("term", F.col("doc").alias("b")), "term").filter("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("hits")).filter(F.col("hits") >= shared)
+    pairs = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("hits")).filter(F.col("hits") >= shared).select("a", "b"))
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     scored = both.select("a", "b", F.round(inter / (F.size("sa") + F.size("sb") - inter), 6).alias("jaccard")).filter(F.col("jaccard") >= jaccard)

@@ -181,7 +181,7 @@ SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY sco
     "loose AS (SELECT DISTINCT doc_id FROM c WHERE lower(trim(value)) NOT IN (SELECT name FROM names)), "
     "hit AS (SELECT DISTINCT d.doc_id FROM documents d JOIN names n ON n.is_retired AND regexp_matches(d.text, '(?i)(^|[^A-Za-z0-9_])' || regexp_escape(n.name) || '($|[^A-Za-z0-9_])')) "
     "SELECT count(*) AS notes, count(*) FILTER (l.doc_id IS NULL AND h.doc_id IS NULL) AS clean, count(h.doc_id) AS retired, count(l.doc_id) AS unmapped FROM documents d LEFT JOIN loose l USING (doc_id) LEFT JOIN hit h ON h.doc_id = d.doc_id",
-    "name_audit": f"WITH {_NAMES}, t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9-]*[a-z0-9])', 1))) AS name FROM documents) SELECT name, norm_id, is_retired, count(*) AS documents FROM t JOIN names USING (name) GROUP BY 1, 2, 3",
+    "name_audit": f"WITH {_NAMES} SELECT name, norm_id, is_retired, count(*) AS documents FROM documents d JOIN names n ON regexp_matches(d.text, '(?i)(^|[^A-Za-z0-9_])' || regexp_escape(n.name) || '($|[^A-Za-z0-9_])') GROUP BY 1, 2, 3",
     "vault_audit": f"WITH {_LAST}, {_NAMES}, v AS (SELECT title, unnest({_spans('coalesce(content, chr(32))')}) AS value FROM last_notes), "
     "l AS (SELECT title, array_to_string(list_sort(list(DISTINCT value)), '|') AS loose FROM v WHERE lower(trim(value)) NOT IN (SELECT name FROM names) GROUP BY 1), "
     "h AS (SELECT title, array_to_string(list_sort(list(DISTINCT name)), '|') AS corrections FROM last_notes JOIN names n ON n.is_retired AND regexp_matches(title || chr(10) || coalesce(content, ''), '(?i)(^|[^A-Za-z0-9_])' || regexp_escape(n.name) || '($|[^A-Za-z0-9_])') GROUP BY 1) "

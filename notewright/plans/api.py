@@ -85,9 +85,13 @@ class Knowledge:
     def concept_ingest(self, vectors: DataFrame, incoming: DataFrame, mode: str = "harness") -> DataFrame:
         return C.decide(dense.nearest(vectors, incoming, 1).filter("rank = 1"), mode)
 
-    def concept_merge(self, base: str, other: str) -> DataFrame:
-        second = self.concepts.filter(F.col("id") == other).withColumn("id", F.lit(base))
-        return C.absorb(self.concepts.filter(F.col("id") == base), second)
+    def concept_merge(self, base: str, other: str) -> tuple[DataFrame, DataFrame]:
+        """The kept concept and its evidence after it has taken in the other; none if either is missing or both are one."""
+        second = self.concepts.filter((F.col("id") == other) & (F.col("id") != base)).withColumn("id", F.lit(base))
+        merged = C.absorb(self.concepts.filter(F.col("id") == base), second)
+        pair = merged.select(F.lit(other).alias("id"), F.col("id").alias("into"))
+        told = C.clean_evidence(self.evidence).filter(F.col("concept_id").isin(base, other))
+        return merged, C.absorb_evidence(told, pair).filter(F.col("concept_id") == base)
 
     def concept_compounding(self) -> DataFrame:
         return C.compounding(C.strength(C.clean_evidence(self.evidence)), self.concepts)

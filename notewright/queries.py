@@ -254,10 +254,10 @@ def document_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def name_audit(spark: SparkSession, d: str) -> DataFrame:
     """Every name of a norm, retired or not, in the texts of documents."""
-    names = N.norm_names(table(spark, d, "norms"))
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
-    terms = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"([a-z0-9][a-z0-9-]*[a-z0-9])"), F.lit(1)))).alias("name"))
-    return terms.join(names, "name").groupBy("name", "norm_id", "is_retired").agg(F.count("*").alias("documents"))
+    norms = table(spark, d, "norms")
+    found = N.audit(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", norms, retired_only=False)
+    counts = found.groupBy(F.col("found").alias("name")).agg(F.count("*").alias("documents"))
+    return counts.join(N.norm_names(norms), "name").select("name", "norm_id", "is_retired", "documents")
 
 
 def vault_audit(spark: SparkSession, d: str) -> DataFrame:

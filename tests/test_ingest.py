@@ -107,3 +107,14 @@ def test_running_sums_in_ranges(spark):
     rows = [(g, n, (n * 7) % 5) for g in ("x", None) for n in range(60)]
     got = C.running(spark.createDataFrame(rows, "g string, o int, v int"), ["g"], "o", F.col("v"), "sum", width=8).collect()
     assert len(got) == len(rows) and all(r["sum"] == sum((n * 7) % 5 for n in range(r["o"] + 1)) for r in got)
+
+
+def test_evidence_is_taken_in_once(spark):
+    e = [("keep", 1, "t-1", "seen"), ("keep", 2, None, "odd"), ("gone", 1, "t-1", "seen"), ("gone", 2, "t-1", "other"), ("gone", 3, None, None), ("else", 1, "t-1", "seen")]
+    df = spark.createDataFrame(e, "concept_id string, ord int, source string, detail string")
+    pair = spark.createDataFrame([("gone", "keep"), ("gone", "keep")], "id string, into string")
+    once = C.absorb_evidence(df, pair)
+    want = {("keep", 1, "t-1", "seen"), ("keep", 2, None, "odd"), ("keep", 3, "t-1", "other"), ("keep", 4, None, None), ("else", 1, "t-1", "seen")}
+    assert {tuple(r) for r in once.collect()} == want
+    again = once.unionByName(df.filter("concept_id = 'gone'"))
+    assert {tuple(r) for r in C.absorb_evidence(again, pair).collect()} == want

@@ -222,7 +222,8 @@ def test_api(spark, data):
     assert k.concept_compounding().first()["concepts"] == 240
     assert k.graph_stats().first()["nodes"] > 0 and k.stale_norms().count() > 0
     ids = [r["id"] for r in k.concepts.limit(2).collect()]
-    assert k.concept_merge(*ids).count() == 1
+    merged, told = k.concept_merge(*ids)
+    assert merged.count() == 1 and told.count() > 0 and k.concept_merge(ids[0], ids[0])[0].count() == 0
 
 
 def test_streams(spark, data, tmp_path):

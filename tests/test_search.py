@@ -195,3 +195,33 @@ def test_encode_only_what_changed(spark):
 def test_nearest_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert dense.nearest(empty, empty, 3).count() == 0
+
+
+def test_vectors_are_stored_and_asked_with_a_prefix(spark, tmp_path):
+    encoder = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    rows = spark.createDataFrame([(1, "ab"), (2, "abc")], "id long, text string")
+    none = spark.createDataFrame([], "key long, digest string, model string")
+    where = str(tmp_path / "store")
+    dense.add_to_store(dense.encode(dense.unencoded(rows, "id", "text", none, "m"), encoder, "m"), where)
+    changed = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, "x")], "id long, text string")
+    new = dense.unencoded(changed, "id", "text", spark.read.parquet(where), "m")
+    assert sorted(r["key"] for r in new.collect()) == [2, 3]
+    dense.add_to_store(dense.encode(new, encoder, "m"), where)
+    now = dense.stored(spark, where, "m", dense.unencoded(changed, "id", "text", none, "m"))
+    assert sorted(r["key"] for r in now.collect()) == [1, 2, 3] and dense.stored(spark, where, "n", new).count() == 0
+    asked = dense.encode(dense.unencoded(rows, "id", "text", none, "m"), encoder, "m", prefix="ask: ")
+    assert round(asked.filter("key = 1").first()["v"][0] / asked.filter("key = 1").first()["v"][1]) == 7
+
+
+def test_open_links_are_nodes(spark):
+    notes = spark.createDataFrame([("A", ["B", "nowhere", "A", None]), ("B", None)], "title string, links array<string>")
+    assert {tuple(r) for r in graph.open_adjacency(notes).collect()} == {("A", "B"), ("B", "A"), ("A", "nowhere"), ("nowhere", "A")}
+
+
+def test_ranks_equal_one_sort(spark):
+    rnd = random.Random(3)
+    rows = [(q, f"d{n}", round(rnd.choice([0.0, 1.5, rnd.random() * 9]), 3)) for q in "ab" for n in range(150)] + [("c", "d", 0.0)]
+    got = {(r["query"], r["doc"]): r["rank"] for r in lexical.ranks(spark.createDataFrame(rows, "query string, doc string, score double"), parts=7).collect()}
+    for q in "abc":
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        assert [got[q, r[1]] for r in mine] == list(range(1, len(mine) + 1))
