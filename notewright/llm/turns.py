@@ -115,8 +115,8 @@ def speaker_turns(transcripts: DataFrame, key: str = "id", text: str = "transcri
     legend = F.col("s").rlike(_LEGEND) & (F.size(F.regexp_extract_all("s", F.lit(_EXPLAINED), F.lit(1))) > 0)
     lines = lines.filter(~legend)
     # labels inside a line begin a new piece of it
-    # (where no separator follows, none of the many labels is tried)
-    pieces = F.split(F.regexp_replace("s", rf"(^\s*{_head(_LABEL)})|\s+(?=[^:：>]*[:：>])({_head(_INNER)})", "\u0001$1$2"), "\u0001")
+    # (where no separator follows within the length of any label, none of the many labels is tried)
+    pieces = F.split(F.regexp_replace("s", rf"(^\s*{_head(_LABEL)})|\s+(?=[^:：>]{{0,400}}[:：>])({_head(_INNER)})", "\u0001$1$2"), "\u0001")
     lines = lines.select("key", "mark", "codes", "named", "line", F.posexplode(pieces).alias("piece", "s")).filter(F.col("s").rlike(r"\S"))
     # the parts of a labelled line in one pass of its pattern: time, label, time, text
     parts = F.split(F.regexp_replace("s", _UTTERANCE, "\u0001$1\u0001$2\u0001$3\u0001$4"), "\u0001", 5)
