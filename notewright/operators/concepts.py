@@ -226,7 +226,7 @@ def _numbered(slug: str, key: str):
                     out = f"{name}-{following[name]}"
                 taken.add(out)
                 made.append(out)
-            yield pd.DataFrame({key: df[key], slug: made})
+            yield pd.DataFrame({key: df[key], "slug": made})
 
     return run
 
@@ -245,10 +245,10 @@ def unique_slugs(rows: DataFrame, key: str, slug: str, order: str, taken: DataFr
     mixed = held.groupBy("_root").agg(F.bool_or((F.col(slug) != F.col("_root")) | (F.col("_old") == 0)).alias("_mixed"))
     held = cut(held.join(mixed, "_root"))
     plain = running(held.filter(~F.col("_mixed")), [slug], order, F.lit(1), "_n")
-    plain = plain.select(key, F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_n").cast("string"))).alias(slug))
+    plain = plain.select(key, F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_n").cast("string"))).alias("slug"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     families = held.filter("_mixed").repartition(n, "_root").sortWithinPartitions("_root", "_old", F.col(order), slug)
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, {slug} string"
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, slug string"
     return plain.unionByName(families.select("_root", slug, key, "_old").mapInPandas(_numbered(slug, key), schema).filter(F.col(key).isNotNull()))
 
 

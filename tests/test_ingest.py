@@ -99,7 +99,7 @@ def test_slugs_look_at_those_in_use(spark):
         want.append(out)
     rows = spark.createDataFrame(list(enumerate(names)), "k long, s string")
     used = spark.createDataFrame([("c",), ("c-2",), ("zz",)], "s string")
-    assert [r["s"] for r in C.unique_slugs(rows, "k", "s", "k", used).orderBy("k").collect()] == want
+    assert [r["slug"] for r in C.unique_slugs(rows, "k", "s", "k", used).orderBy("k").collect()] == want
     assert C.unique_slugs(rows.limit(0), "k", "s", "k").count() == 0
 
 
