@@ -29,6 +29,8 @@ SOUNDS = (
     r"long silence|silence|pause|long pause|beep|noise|background noise|crosstalk|music|phone rings|door closes|door opens|knocking|clears throat|"
     r"harklar sig|skrattar|skratt|hostar|hosta|suckar|suck|ohörbart|paus|lång paus|tystnad|lång tystnad|gråter|snyftar|brus|telefon ringer|dörren stängs"
 )
+#: Looking ahead for a separator takes time with the square of a line's length; longer lines do without.
+LOOKED_THROUGH = 4000
 _WORDS = "|".join(sorted(ROLE_OF, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]+(?:[ -]\p{Lu}[\p{L}'’-]+)?"
 _TITLED = rf"(?:(?i:dr|doctor|doktor|mr|mrs)\.? {_NAME})"
@@ -115,8 +117,9 @@ def speaker_turns(transcripts: DataFrame, key: str = "id", text: str = "transcri
     legend = F.col("s").rlike(_LEGEND) & (F.size(F.regexp_extract_all("s", F.lit(_EXPLAINED), F.lit(1))) > 0)
     lines = lines.filter(~legend)
     # labels inside a line begin a new piece of it
-    # (where no separator follows within the length of any label, none of the many labels is tried)
-    pieces = F.split(F.regexp_replace("s", rf"(^\s*{_head(_LABEL)})|\s+(?=[^:：>]{{0,400}}[:：>])({_head(_INNER)})", "\u0001$1$2"), "\u0001")
+    # in lines of usual length none of the many labels is tried where no separator follows; both ways find the same
+    heads = lambda look: F.regexp_replace("s", rf"(^\s*{_head(_LABEL)})|\s+{look}({_head(_INNER)})", "\u0001$1$2")
+    pieces = F.split(F.when(F.length("s") <= LOOKED_THROUGH, heads("(?=[^:：>]*[:：>])")).otherwise(heads("")), "\u0001")
     lines = lines.select("key", "mark", "codes", "named", "line", F.posexplode(pieces).alias("piece", "s")).filter(F.col("s").rlike(r"\S"))
     # the parts of a labelled line in one pass of its pattern: time, label, time, text
     parts = F.split(F.regexp_replace("s", _UTTERANCE, "\u0001$1\u0001$2\u0001$3\u0001$4"), "\u0001", 5)
